@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import distinct as nd
 from tidemark.llm import percentiles as pc
+from tidemark.llm import tokens as tk
 from tidemark.operators.trailing import current_periods
 from tidemark.registry import Registry
 from tidemark.session import table
@@ -56,3 +57,18 @@ def p5_distinct_spans(spark: SparkSession, d: str) -> DataFrame:
     days = nd.sketch(current_periods(table(spark, d, "period_aggregations")).filter("granularity = 'day'"), ["period_start"], "customer_id")
     months = nd.merge(days.withColumn("month", F.date_trunc("month", "period_start").cast("timestamp_ntz")), ["month"])
     return nd.estimate(months, ["month"])
+
+
+@REG.query()
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return tk.encode(table(spark, d, "documents"))
+
+
+@REG.query()
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, tokens and texts that decoding doesn't give back (0), by language."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    back = tk.encode(docs).select("doc_id", F.size("ids").alias("n"), tk.decode(F.col("ids"), tk.Vocabulary()).alias("back"))
+    same = F.col("back") == F.coalesce("text", F.lit(""))
+    return docs.join(back, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"), F.count_if(~same).alias("not_restored"))
