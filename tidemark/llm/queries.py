@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import distinct as nd
 from tidemark.llm import percentiles as pc
 from tidemark.llm import tokens as tk
+from tidemark.llm.sentences import sentences
 from tidemark.operators.trailing import current_periods
 from tidemark.registry import Registry
 from tidemark.session import table
@@ -72,3 +73,9 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     back = tk.encode(docs).select("doc_id", F.size("ids").alias("n"), tk.decode(F.col("ids"), tk.Vocabulary()).alias("back"))
     same = F.col("back") == F.coalesce("text", F.lit(""))
     return docs.join(back, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"), F.count_if(~same).alias("not_restored"))
+
+
+@REG.query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units of every document."""
+    return sentences(table(spark, d, "documents"))
