@@ -138,12 +138,12 @@ def encode(documents: DataFrame, *, path: str = DEFAULT_PATH, doc_id: str = "doc
     blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // docs_per_block))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("block", block)
-    seen = docs.select("block", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).distinct()
+    seen = checkpointed(docs.select("block", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).distinct())
     lexicon = checkpointed(seen.select("word").distinct().select("word", fold_merges(F.col("word"), Vocabulary(path)).alias("ids")))
     null = F.lit(None)
     known = seen.join(lexicon, "word").select("block", F.lit(0).alias("kind"), null.cast("bigint").alias("doc_id"), "word", "ids", null.cast("string").alias("text"))
     every = known.union(docs.select("block", F.lit(1).alias("kind"), "doc_id", null.cast("string").alias("word"), null.cast("array<int>").alias("ids"), "text"))
-    placed = every.repartition("block").sortWithinPartitions("block", "kind")
+    placed = every.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
     cut = placed.select("block", "kind", "doc_id", "word", "ids", F.when(F.col("kind") == 1, words_of(F.col("text"))).alias("words"))
     return cut.mapInArrow(_rewrite, "doc_id bigint, ids array<int>")
 
