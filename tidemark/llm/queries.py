@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import distinct as nd
 from tidemark.llm import percentiles as pc
 from tidemark.llm import tokens as tk
+from tidemark.llm.leaks import leaks
 from tidemark.llm.sentences import sentences
 from tidemark.operators.trailing import current_periods
 from tidemark.registry import Registry
@@ -79,3 +80,9 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Sentence units of every document."""
     return sentences(table(spark, d, "documents"))
+
+
+@REG.query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least twelve consecutive words of an evaluation item."""
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))

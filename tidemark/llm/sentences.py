@@ -134,15 +134,14 @@ def _cuts(text: str) -> list[tuple[int, float, int]]:
         if c in ",;:)]}»”、，；：)）」』" or c in "-–—" and d not in "`":
             continue
         script = _script(d)
-        if d.islower():
-            if not CODE_LIKE.match(text, k):
-                continue
-            score -= 0.5
+        if d.islower() and not wide:
+            code = CODE_LIKE.match(text, k)
+            score -= 0.5 if code else 1.0
             if closed:
                 continue
             if score < -1:  # an abbreviation before code: it goes on, but for those that end lists
                 w = WORD_BEFORE.search(text, max(0, m.start() - 12), m.start())
-                if not w or w.group().lower() not in ("etc", "usw", "д", "т.д"):
+                if not code or not w or w.group().lower() not in ("etc", "usw", "д", "т.д"):
                     continue
         elif d.isdigit():
             if score <= -1:
