@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
@@ -25,23 +25,23 @@ def trailing_totals(daily: DataFrame, windows: tuple[int, ...] = (7, 30), *, ent
     rows of one entity and day add up.
 
     Each daily total is exploded onto the days it influences; a zero row for each calendar day joins them in the
-    same aggregate. Daily pre-aggregation bounds an entity to one row a day before rows are keyed by entity, and
+    same explode and aggregate. Daily pre-aggregation bounds an entity to one row a day before rows are keyed by entity, and
     explode and aggregate then need no further shuffle.
     """
     day = F.to_date(F.col(start))
     clean = daily.filter(F.col(entity).isNotNull() & F.col(start).isNotNull()).select(F.col(entity).alias("entity"), day.alias("day"), F.col(amount).cast("decimal(18,2)").alias("amount"))
     days = clean.groupBy("entity", "day").agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(28,2)").alias("amount"))
     low, high = daily.filter(F.col(entity).isNotNull()).agg(F.min(day), F.max(day)).first()
-    if low is None:
-        low = high = None
     first, last = F.lit(low).cast("date"), F.lit(high).cast("date")
     keyed = days.repartition("entity")
-    most = max(windows)
-    # one list per row of the days it influences; the first row of an entity also brings the whole calendar
-    reach = F.sequence(F.lit(0), F.least(F.lit(most - 1), F.datediff(last, F.col("day"))))
-    influence = keyed.select("entity", "amount", "day", F.explode(reach).alias("lag")).select("entity", F.date_add("day", F.col("lag")).alias("day"), "lag", "amount")
-    calendar = keyed.select("entity").distinct().select("entity", F.explode(F.sequence(first, last)).alias("day"), F.lit(most).alias("lag"), F.lit(0).cast("decimal(28,2)").alias("amount"))
-    sums = [F.coalesce(F.sum(F.when(F.col("lag") < w, F.col("amount"))), F.lit(0)).cast("decimal(28,2)").alias(f"total_{w}d") for w in windows]
-    out = influence.unionByName(calendar).groupBy("entity", "day").agg(*sums)
+    # one list of offsets per row: the days it influences, and below zero, for an entity's first row, all days of the calendar
+    first_row = F.row_number().over(Window.partitionBy("entity").orderBy("day")) == 1
+    begin = F.when(first_row, -F.datediff(last, first) - 1).otherwise(0)
+    reach = F.sequence(begin, F.least(F.lit(max(windows) - 1), F.datediff(last, F.col("day"))), F.lit(1))
+    rows = keyed.select("entity", "amount", "day", reach.alias("reach")).select("entity", "amount", "day", F.explode("reach").alias("lag"))
+    target = F.when(F.col("lag") < 0, F.date_add(first, -F.col("lag") - 1)).otherwise(F.date_add("day", F.col("lag")))
+    zero = F.lit(0).cast("decimal(28,2)")
+    sums = [F.sum(F.when(F.col("lag").between(0, w - 1), F.col("amount")).otherwise(zero)).cast("decimal(28,2)").alias(f"total_{w}d") for w in windows]
+    out = rows.select("entity", target.alias("day"), "lag", "amount").groupBy("entity", "day").agg(*sums)
     means = [F.round(F.col(f"total_{w}d").cast("double") / w, 4).alias(f"avg_{w}d") for w in windows]
     return out.select(F.col("entity").alias(entity), "day", *[f"total_{w}d" for w in windows], *means)
