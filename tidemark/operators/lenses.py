@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import sums_before
+
 MONEY = "decimal(18,2)"
 
 
@@ -19,14 +21,13 @@ def pct(part: Column, whole: Column, scale: int = 2) -> Column:
 def pareto(rows: DataFrame, percents: tuple[int, ...] = (10, 20)) -> DataFrame:
     """(percent, revenue_share): revenue share of the top p % of customers (at least one). Percents are 1 to 100.
 
-    Ranks come from value counts, not from one sorted partition: customers with equal spend are one row.
+    Ranks come from value counts in ranges, not from one sorted partition: customers with equal spend are one row.
     """
     if any(not 1 <= p <= 100 for p in percents):
         raise ValueError("percents must lie in 1..100")
     counts = rows.groupBy(F.col("total_spend").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("all_n"), F.sum(F.col("v") * F.col("n")).alias("all_v"))
-    run = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).join(F.broadcast(total))
+    ranked = sums_before(counts.filter("v is not null"), "v", ["n"], descending=True).withColumnRenamed("n_before", "before").join(F.broadcast(total))
     wanted = F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")
     limit = F.greatest(F.floor(F.col("all_n") * F.col("percent") / 100), F.lit(1))
     taken = F.greatest(F.least(F.col("n"), limit - F.col("before")), F.lit(0))
