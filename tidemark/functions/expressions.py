@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: The functions of the language. ``round`` is to even, as Python's.
 FUNCTIONS: dict[str, Callable[..., Column]] = {
-    "abs": F.abs, "max": F.greatest, "min": F.least, "round": lambda x, n=F.lit(0): F.bround(x.cast("double"), n), "sqrt": lambda x: F.sqrt(x), "log": lambda x: F.ln(x),
+    "abs": F.abs, "max": F.greatest, "min": F.least, "round": lambda x, *n: F.bround(x.cast("double"), *(n or (F.lit(0),))), "sqrt": lambda x: F.sqrt(x), "log": lambda x: F.ln(x),
     "exp": F.exp, "sin": F.sin, "cos": F.cos, "tan": F.tan,
 }
 

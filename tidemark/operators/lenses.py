@@ -99,7 +99,7 @@ def lens3(periods: DataFrame, assignments: DataFrame, cohorts: DataFrame) -> Dat
     c, d = F.col, lambda a, b: F.round(a.cast("double") / b, 6)
     run = F.sum("newly").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return per.join(size, "cohort_id").select(
-        "cohort_id", (F.dense_rank().over(order) - 1).alias("period_number"), "period_start", "active_customers", "cohort_size", d(run, c("cohort_size")).alias("cumulative_activation_rate"),
+        "cohort_id", (F.dense_rank().over(order) - 1).cast("bigint").alias("period_number"), "period_start", "active_customers", "cohort_size", d(run, c("cohort_size")).alias("cumulative_activation_rate"),
         d(c("orders"), c("active_customers")).alias("orders_per_active"), d(c("orders"), c("cohort_size")).alias("orders_per_member"), d(c("revenue"), c("active_customers")).alias("revenue_per_active"),
         d(c("revenue"), c("cohort_size")).alias("revenue_per_member"), c("revenue").cast(MONEY).alias("total_revenue"),
     )
@@ -119,9 +119,9 @@ def decomposition(periods: DataFrame, assignments: DataFrame, *, aligned: str =
     """
     rows = periods.join(assignments, "customer_id")
     if aligned == "left":
-        rows = rows.withColumn("period_number", F.row_number().over(Window.partitionBy("customer_id").orderBy("period_start")) - 1)
+        rows = rows.withColumn("period_number", F.row_number().over(Window.partitionBy("customer_id").orderBy("period_start")).cast("bigint") - 1)
     else:  # the calendar of observed periods: as many rows as periods, not customers
-        calendar = periods.select("period_start").distinct().withColumn("period_number", F.row_number().over(Window.orderBy("period_start")) - 1)
+        calendar = periods.select("period_start").distinct().withColumn("period_number", F.row_number().over(Window.orderBy("period_start")).cast("bigint") - 1)
         rows = rows.join(calendar, "period_start")
     size = assignments.groupBy("cohort_id").agg(F.count_distinct("customer_id").alias("cohort_size"))
     sums = rows.groupBy("cohort_id", "period_number").agg(F.count(F.lit(1)).alias("active_customers"), F.sum("total_orders").alias("orders"), F.sum("total_spend").alias("spend"), F.sum("total_margin").alias("margin")).join(size, "cohort_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import cohorts as co
@@ -61,7 +61,13 @@ def periods(spark: SparkSession, d: str) -> DataFrame:
     return ma.aggregate_periods(orders(spark, d))
 
 
-AT = F.lit("2024-07-15").cast("timestamp_ntz")
+
+
+def at() -> Column:
+    """The end of the observation."""
+    return F.lit("2024-07-15").cast("timestamp_ntz")
+
+
 SPLIT = "period_start < TIMESTAMP_NTZ'2023-10-01'"
 FIRST, SECOND = "period_start >= TIMESTAMP '2023-07-01' AND period_start < TIMESTAMP '2023-10-01'", "period_start >= TIMESTAMP '2023-10-01' AND period_start < TIMESTAMP '2024-01-01'"
 HISTORY = "period_start < TIMESTAMP '2023-10-01'"
@@ -69,7 +75,7 @@ HISTORY = "period_start < TIMESTAMP '2023-10-01'"
 
 def rfm_rows(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
     p = periods(spark, d)
-    return rf.rfm(p.filter(where.replace("TIMESTAMP '", "TIMESTAMP_NTZ'")) if where else p, AT)
+    return rf.rfm(p.filter(where.replace("TIMESTAMP '", "TIMESTAMP_NTZ'")) if where else p, at())
 
 
 def assignments(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import drift as dr
@@ -359,7 +359,7 @@ AT = "TIMESTAMP '2023-09-01'"
 _NAMES = ["loyalty_tier", "credit_band", "account_status"]
 
 
-def at() -> F.Column:
+def at() -> Column:
     return F.lit("2023-09-01").cast("timestamp_ntz")
 
 
