@@ -50,7 +50,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, x: str) -> DataFrame:
     counts = side(a, 1, 0).union(side(b, 0, 1)).groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     totals = counts.agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
     run = sums_before(counts, "x", ["a", "b"]).join(F.broadcast(totals))
-    gap = F.abs((F.col("a_before") + F.col("a")) / F.col("n") - (F.col("b_before") + F.col("b")) / F.col("m"))
+    gap = F.abs(F.try_divide((F.col("a_before") + F.col("a")).cast("double"), F.col("n").cast("double")) - F.try_divide((F.col("b_before") + F.col("b")).cast("double"), F.col("m").cast("double")))
     return run.agg(F.max(gap).alias("d"), F.max("n").alias("n"), F.max("m").alias("m"))
 
 
@@ -118,7 +118,7 @@ def categorical_psi(baseline: DataFrame, current: DataFrame, column: str, cap: f
     n = lambda df, name: df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias(name))
     rows = n(baseline, "b").join(n(current, "c"), column, "full_outer").fillna(0, ["b", "c"])
     totals = rows.agg(F.sum("b").alias("tb"), F.sum("c").alias("tc"))
-    b, c = (F.greatest(F.col(k) / F.col(f"t{k}"), F.lit(epsilon)) for k in "bc")
+    b, c = (F.greatest(F.try_divide(F.col(k).cast("double"), F.col(f"t{k}").cast("double")), F.lit(epsilon)) for k in "bc")
     score = F.sum((c - b) * F.ln(c / b))
     return rows.join(F.broadcast(totals)).agg((score if cap is None else F.least(score, F.lit(cap))).alias("psi"))
 

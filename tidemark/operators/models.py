@@ -34,7 +34,7 @@ def bgnbd_inputs(periods: DataFrame, observation_end: Column) -> DataFrame:
 def gamma_gamma_inputs(periods: DataFrame, min_frequency: int = 2) -> DataFrame:
     """(customer_id, frequency, monetary_value) of customers with at least that many orders and a positive mean."""
     g = periods.filter("customer_id is not null").groupBy("customer_id").agg(F.sum("total_orders").alias("frequency"), F.sum("total_spend").alias("spend"))
-    mean = F.round(F.col("spend").cast("decimal(28,10)") / F.col("frequency"), 2).cast("decimal(18,2)")
+    mean = F.round(F.col("spend").cast("decimal(28,10)") / F.nullif(F.col("frequency"), F.lit(0)), 2).cast("decimal(18,2)")
     return g.filter(F.col("frequency") >= min_frequency).select("customer_id", "frequency", mean.alias("monetary_value"))
 
 

@@ -154,7 +154,7 @@ def model_quality(df: DataFrame, columns: list[str]) -> DataFrame:
         lo, hi = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]
         return (F.col(c) < lo - 1.5 * (hi - lo)) | (F.col(c) > hi + 1.5 * (hi - lo))
 
-    n = F.count(F.lit(1)).cast("double")
+    n = F.nullif(F.count(F.lit(1)).cast("double"), F.lit(0.0))  # null shares of an empty table
     missing = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) / n for c in columns]) / len(columns)
     outliers = reduce(lambda a, b: a + b, [F.count_if(outlier(c)) / n for c in numeric]) / len(numeric) if numeric else F.lit(0.0)
     return rows.agg(F.count(F.lit(1)).alias("total_samples"), missing.alias("missing_share"), outliers.alias("outlier_share")).withColumn("overall_score", (2 - F.col("missing_share") - F.col("outlier_share")) / 2)

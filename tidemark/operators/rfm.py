@@ -15,7 +15,7 @@ def rfm(periods: DataFrame, observation_end: Column) -> DataFrame:
     negative for activity after ``observation_end``, which ``future_activity`` lists."""
     last = F.coalesce(F.max("last_transaction_ts"), F.max("period_end"))
     sums = periods.filter("customer_id is not null").groupBy("customer_id").agg(last.alias("last"), F.min("period_start").alias("observation_start"), F.sum("total_orders").alias("frequency"), F.round(F.sum("total_spend"), 2).cast(MONEY).alias("total_spend"))
-    monetary = F.round(F.col("total_spend").cast("decimal(28,10)") / F.col("frequency"), 2).cast(MONEY)
+    monetary = F.round(F.col("total_spend").cast("decimal(28,10)") / F.nullif(F.col("frequency"), F.lit(0)), 2).cast(MONEY)
     return sums.select("customer_id", floor_days(observation_end, F.col("last")).alias("recency_days"), "frequency", monetary.alias("monetary"), "total_spend", "observation_start", observation_end.alias("observation_end"))
 
 

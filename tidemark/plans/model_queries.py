@@ -133,9 +133,11 @@ def st_session(spark: SparkSession, d: str) -> DataFrame:
     return _plain(_rounded(wi.session(stream_events(spark, d), "ts", ["user_id"], wi.aggregates(F.col("value"), "ts"), "2 hours")))
 
 
-@REG.query(f"SELECT event_type, {_agg_sql('FROM events GROUP BY 1')}")
+@REG.query("SELECT event_type, count(*) AS count, round(coalesce(sum(value), 0), 6) AS sum, round(coalesce(avg(value), 0), 6) AS avg, min(value) AS min, max(value) AS max, count(DISTINCT value) AS distinct_count FROM events GROUP BY 1")
 def st_global(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(wi.overall(stream_events(spark, d), ["event_type"], wi.aggregates(F.col("value"), "ts")))
+    """The global window has no bound, so it keeps no list of values: its percentile is a sketch, left out here."""
+    columns = [*wi.aggregates(F.col("value"), "ts", exact=False)[:5], F.count_distinct("value").alias("distinct_count")]
+    return wi.overall(stream_events(spark, d), ["event_type"], columns).withColumns({"sum": F.round("sum", 6), "avg": F.round("avg", 6)})
 
 
 @REG.query("SELECT user_id, arg_min(value, ts) AS first, arg_max(value, ts) AS last FROM events GROUP BY 1")

@@ -28,7 +28,8 @@ def aggregates(value: Column, ts: str, exact: bool = True, percent: float = 95.0
     if not exact or streaming:
         return [*base, F.approx_count_distinct(value).alias("distinct_count"), F.percentile_approx(v, percent / 100).alias("percentile")]
     s = F.sort_array(F.collect_list(v))
-    return [*base, F.count_distinct(value).alias("distinct_count"), F.element_at(s, F.least(F.floor(F.size(s) * percent / 100) + 1, F.size(s)).cast("int")).alias("percentile")]
+    place = F.least(F.floor(F.size(s) * percent / 100) + 1, F.size(s)).cast("int")
+    return [*base, F.count_distinct(value).alias("distinct_count"), F.when(F.size(s) > 0, F.try_element_at(s, F.greatest(place, F.lit(1)))).alias("percentile")]
 
 
 def windowed(df: DataFrame, ts: str, window: Column, keys: list[str], columns: list[Column]) -> DataFrame:
