@@ -106,7 +106,7 @@ def _looks_like_text(plain: str, said: str) -> bool:
     words = sum(1 for s in lines if not s.startswith(marks) and s.count(" ") >= 3 and s[-1:] not in ";{}:,")
     if said in ("python", "hash") and any(s.startswith("# ") for s in lines[:2]) and bare > 0.5 * len(lines) and words > 0.5 * bare:
         return True
-    return bare > 0.6 * len(lines) and words > 0.5 * bare
+    return bare > 0.6 * len(lines) and words >= 0.5 * bare
 
 
 def _is_json(plain: str) -> bool:

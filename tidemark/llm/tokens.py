@@ -155,4 +155,5 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
         by_id[i] = piece
     pieces = F.from_json(F.lit(json.dumps(by_id, ensure_ascii=False)), "array<string>")
     letters = F.when(F.size(ids) == 0, F.lit("")).otherwise(F.concat_ws("", F.transform(ids, lambda i: F.element_at(pieces, i + 1))))
-    return F.decode(F.encode(F.translate(letters, _TO, _FROM), "ISO-8859-1"), "UTF-8")
+    plain = F.replace(F.translate(letters, _TO[1:], _FROM[1:]), F.lit(_TO[0]), F.lit(_FROM[0]))  # translate() would drop a NUL
+    return F.decode(F.encode(plain, "ISO-8859-1"), "UTF-8")
