@@ -139,10 +139,8 @@ def _cuts(text: str) -> list[tuple[int, float, int]]:
             score -= 0.5 if code else 1.0
             if closed:
                 continue
-            if score < -1:  # an abbreviation before code: it goes on, but for those that end lists
-                w = WORD_BEFORE.search(text, max(0, m.start() - 12), m.start())
-                if not code or not w or w.group().lower() not in ("etc", "usw", "д", "т.д"):
-                    continue
+            if score < -1 and not code:  # an abbreviation in a running sentence
+                continue
         elif d.isdigit():
             if score <= -1:
                 score -= 0.5
