@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_US = 86_400_000_000
+from tidemark.session import checkpointed
+
+ROWS_PER_TASK = 1_000_000
 
 
 def current_periods(periods: DataFrame) -> DataFrame:
@@ -31,9 +33,13 @@ def trailing_totals(daily: DataFrame, windows: tuple[int, ...] = (7, 30), *, ent
     day = F.to_date(F.col(start))
     clean = daily.filter(F.col(entity).isNotNull() & F.col(start).isNotNull()).select(F.col(entity).alias("entity"), day.alias("day"), F.col(amount).cast("decimal(18,2)").alias("amount"))
     days = clean.groupBy("entity", "day").agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(28,2)").alias("amount"))
-    low, high = daily.filter(F.col(entity).isNotNull()).agg(F.min(day), F.max(day)).first()
+    days = checkpointed(days)  # read twice: for the calendar, and to explode
+    low, high, entities = days.agg(F.min("day"), F.max("day"), F.approx_count_distinct("entity")).first()
     first, last = F.lit(low).cast("date"), F.lit(high).cast("date")
-    keyed = days.repartition("entity")
+    # parts by the rows that come out, of which the few that go in give no idea
+    rows_out = entities * ((high - low).days + 1) if entities else 0
+    parts = max(int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows_out // ROWS_PER_TASK))
+    keyed = days.repartition(parts, "entity")
     # one list of offsets per row: the days it influences, and below zero, for an entity's first row, all days of the calendar
     first_row = F.row_number().over(Window.partitionBy("entity").orderBy("day")) == 1
     begin = F.when(first_row, -F.datediff(last, first) - 1).otherwise(0)
