@@ -44,10 +44,13 @@ def generate_cohorts(low: Column, high: Column, one_row: DataFrame, kind: str =
 
 def assign_cohorts(customers: DataFrame, cohorts: DataFrame) -> DataFrame:
     """(customer_id, cohort_id) of the first definition, by ``ord`` or else start and id, whose [start, end) holds the
-    acquisition. Definitions are few by nature; the join is a range join against them and keeps one per customer."""
+    acquisition. The range becomes an equi-join: each definition brings a row for each of its days."""
     ordered = cohorts if "ord" in cohorts.columns else cohorts.withColumn("ord", F.struct("start_date", "cohort_id"))
+    days = F.explode(F.sequence(F.to_date("start_date"), F.to_date("end_date"))).alias("__day")
+    by_day = ordered.filter("start_date < end_date").select("cohort_id", "start_date", "end_date", "ord", days)
     inside = (F.col("acquisition_ts") >= F.col("start_date")) & (F.col("acquisition_ts") < F.col("end_date"))
-    return customers.join(ordered, inside).groupBy("customer_id").agg(F.min_by("cohort_id", "ord").alias("cohort_id"))
+    dated = customers.filter("acquisition_ts is not null").withColumn("__day", F.to_date("acquisition_ts"))
+    return dated.join(by_day, "__day").filter(inside).groupBy("customer_id").agg(F.min_by("cohort_id", "ord").alias("cohort_id"))
 
 
 def coverage(customers: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.rows import attach
 from tidemark.functions.tails import chi2_tail, kolmogorov_tail
 from tidemark.operators.ordered import sums_before
 
@@ -17,8 +18,11 @@ def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _histogram(values: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """Counts per metric and right-open bin; the last bin holds its right edge, values outside the edges are left out."""
-    e = F.col("edges")
-    inside = values.join(F.broadcast(edges), "metric").filter((F.col("x") >= e[0]) & (F.col("x") <= F.element_at(e, -1)))
+    return _binned(values.join(F.broadcast(edges), "metric"), F.col("edges"), name)  # a row per metric, that is per column
+
+
+def _binned(values: DataFrame, e: Column, name: str) -> DataFrame:
+    inside = values.filter((F.col("x") >= e[0]) & (F.col("x") <= F.element_at(e, -1)))
     bin_ = F.least(F.size(F.filter(e, lambda v: v <= F.col("x"))) - 1, F.size(e) - 2)
     return inside.groupBy("metric", bin_.alias("bin")).agg(F.count(F.lit(1)).alias(name))
 
@@ -49,7 +53,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, x: str) -> DataFrame:
     side = lambda df, na, nb: df.filter(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("k")).select("x", (F.col("k") * na).alias("a"), (F.col("k") * nb).alias("b"))
     counts = side(a, 1, 0).union(side(b, 0, 1)).groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     totals = counts.agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
-    run = sums_before(counts, "x", ["a", "b"]).join(F.broadcast(totals))
+    run = attach(sums_before(counts, "x", ["a", "b"]), totals)
     gap = F.abs(F.try_divide((F.col("a_before") + F.col("a")).cast("double"), F.col("n").cast("double")) - F.try_divide((F.col("b_before") + F.col("b")).cast("double"), F.col("m").cast("double")))
     return run.agg(F.max(gap).alias("d"), F.max("n").alias("n"), F.max("m").alias("m"))
 
@@ -104,13 +108,14 @@ def model_psi(reference: DataFrame, current: DataFrame, x: str) -> DataFrame:
     if len(at) < 3:
         lo, hi = (facts["lo"], facts["hi"]) if facts["lo"] < facts["hi"] else (facts["lo"] - 0.5, facts["hi"] + 0.5)
         at = [lo + (hi - lo) * k / bins for k in range(bins + 1)]
-    edges = spark.createDataFrame([("x", at)], "metric string, edges array<double>")
-    grid = edges.select("metric", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    counts = grid.join(_histogram(ref, edges, "b"), ["metric", "bin"], "left").join(_histogram(cur, edges, "c"), ["metric", "bin"], "left").fillna(0)
+    edges = F.array(*[F.lit(float(e)) for e in at])
+    sides = _binned(ref, edges, "n").select("bin", F.col("n").alias("b"), F.lit(0).alias("c")).union(_binned(cur, edges, "n").select("bin", F.lit(0), "n"))
+    grid = spark.range(len(at) - 1).select(F.col("id").cast("int").alias("bin"), F.lit(0).alias("b"), F.lit(0).alias("c"))
+    counts = sides.union(grid).groupBy("bin").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
     totals = counts.agg(F.sum("b").alias("tb"), F.sum("c").alias("tc"))
     share = lambda n, t: F.when(F.col(n) == 0, F.lit(1e-6)).otherwise(F.col(n) / F.col(t))
     b, c = share("b", "tb"), share("c", "tc")
-    return counts.join(totals).filter("tb > 0 and tc > 0").agg(F.abs(F.coalesce(F.sum((c - b) * F.ln(c / b)), F.lit(0.0))).alias("psi"))
+    return attach(counts, totals).filter("tb > 0 and tc > 0").agg(F.abs(F.coalesce(F.sum((c - b) * F.ln(c / b)), F.lit(0.0))).alias("psi"))
 
 
 def categorical_psi(baseline: DataFrame, current: DataFrame, column: str, cap: float | None = None, epsilon: float = 1e-6) -> DataFrame:
@@ -120,7 +125,7 @@ def categorical_psi(baseline: DataFrame, current: DataFrame, column: str, cap: f
     totals = rows.agg(F.sum("b").alias("tb"), F.sum("c").alias("tc"))
     b, c = (F.greatest(F.try_divide(F.col(k).cast("double"), F.col(f"t{k}").cast("double")), F.lit(epsilon)) for k in "bc")
     score = F.sum((c - b) * F.ln(c / b))
-    return rows.join(F.broadcast(totals)).agg((score if cap is None else F.least(score, F.lit(cap))).alias("psi"))
+    return attach(rows, totals).agg((score if cap is None else F.least(score, F.lit(cap))).alias("psi"))
 
 
 def category_counts(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
@@ -143,11 +148,11 @@ def feature_baseline(df: DataFrame, x: str, percents: tuple[int, ...] = (5, 25,
     """One row: count, mean, std, min, max and lower-rank percentiles, the element at int(p / 100 * (n - 1)) in order."""
     counts = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("k"))
     total = counts.agg(F.sum("k").alias("n"))
-    run = sums_before(counts, "x", ["k"]).join(F.broadcast(total))
+    run = attach(sums_before(counts, "x", ["k"]), total)
     rank = lambda p: F.floor(F.lit(p / 100) * (F.col("n") - 1))
     at = [F.max(F.when((F.col("k_before") <= rank(p)) & (rank(p) < F.col("k_before") + F.col("k")), F.col("x"))).alias(f"p{p}") for p in percents]
     base = df.filter(F.col(x).isNotNull()).agg(F.count(x).alias("count"), F.avg(F.col(x).cast("double")).alias("mean"), F.stddev_samp(F.col(x).cast("double")).alias("std"), F.min(F.col(x).cast("double")).alias("min"), F.max(F.col(x).cast("double")).alias("max"))
-    return base.join(run.agg(*at))  # two single rows
+    return attach(base, run.agg(*at))
 
 
 def feature_shift(baseline: DataFrame, current: DataFrame) -> DataFrame:
@@ -158,7 +163,7 @@ def feature_shift(baseline: DataFrame, current: DataFrame) -> DataFrame:
     m = F.abs(F.col("cm") - F.col("bm")) / F.nullif(F.col("bs"), F.lit(0.0))
     s = F.abs(F.col("cs") - F.col("bs")) / F.nullif(F.col("bs"), F.lit(0.0))
     none = (F.col("bm") == 0) | (F.coalesce("bs", F.lit(0.0)) == 0)
-    return b.join(c).select(F.when(none, F.lit(0.0)).otherwise(F.least((m + s) / 2, F.lit(1.0))).alias("drift_score"))
+    return attach(b, c).select(F.when(none, F.lit(0.0)).otherwise(F.least((m + s) / 2, F.lit(1.0))).alias("drift_score"))
 
 
 def drift_status(score: Column, low: float = 0.1, medium: float = 0.3, high: float = 0.5) -> Column:

@@ -185,11 +185,13 @@ def chi2_contingency(df: DataFrame, row: str, column: str) -> dict:
     rows, columns = cells.groupBy("r").agg(F.sum("n").alias("nr")), cells.groupBy("c").agg(F.sum("n").alias("nc"))
     k, m = rows.count(), columns.count()
     total = cells.agg(F.sum("n")).first()[0]
-    expected = F.col("nr") * F.col("nc") / F.lit(total)
-    gap = F.abs(F.coalesce("n", F.lit(0)) - expected)
-    gap = F.greatest(gap - 0.5, F.lit(0.0)) if k == m == 2 else gap
-    grid = rows.join(columns).join(cells, ["r", "c"], "left")  # categories of two columns, not rows of the table
-    chi = grid.agg(F.sum(gap * gap / expected)).first()[0]
+    if k == m == 2:  # with Yates' correction, from the four cells
+        n = {(x["r"], x["c"]): x["n"] for x in cells.collect()}
+        down, across = rows.collect(), columns.collect()
+        chi = sum(max(abs(n.get((r["r"], c["c"]), 0) - e) - 0.5, 0.0) ** 2 / e for r in down for c in across for e in [r["nr"] * c["nc"] / total])
+    else:  # empty cells need no row: the sum over all of (n - e)^2 / e is total * (sum of n^2 / (nr nc) - 1)
+        share = F.sum(F.pow(F.col("n").cast("double"), F.lit(2)) / (F.col("nr").cast("double") * F.col("nc")))
+        chi = total * (cells.join(rows, "r").join(columns, "c").agg(share).first()[0] - 1)
     df_ = (k - 1) * (m - 1)
     return {"statistic": chi, "p_value": chi2_tail(chi, df_) if df_ else 1.0, "df": df_, "effect_size": math.sqrt(chi / (total * max(1, min(k, m) - 1)))}
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.rows import attach
 from tidemark.operators.ordered import sums_before
 
 MONEY = "decimal(18,2)"
@@ -27,7 +28,7 @@ def pareto(rows: DataFrame, percents: tuple[int, ...] = (10, 20)) -> DataFrame:
         raise ValueError("percents must lie in 1..100")
     counts = rows.groupBy(F.col("total_spend").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("all_n"), F.sum(F.col("v") * F.col("n")).alias("all_v"))
-    ranked = sums_before(counts.filter("v is not null"), "v", ["n"], descending=True).withColumnRenamed("n_before", "before").join(F.broadcast(total))
+    ranked = attach(sums_before(counts.filter("v is not null"), "v", ["n"], descending=True).withColumnRenamed("n_before", "before"), total)
     wanted = F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")
     limit = F.greatest(F.floor(F.col("all_n") * F.col("percent") / 100), F.lit(1))
     taken = F.greatest(F.least(F.col("n"), limit - F.col("before")), F.lit(0))
@@ -44,7 +45,7 @@ def lens1(rows: DataFrame) -> DataFrame:
         money(F.sum("total_spend")).alias("total_revenue"), money(F.sum("frequency").cast("decimal(28,10)") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("avg_orders_per_customer"), money(F.median("total_spend").cast("decimal(28,4)")).alias("median_customer_value"),
     )
     shares = pareto(rows).agg(*[F.coalesce(F.max(F.when(F.col("percent") == p, F.col("revenue_share"))), F.lit(0)).cast(MONEY).alias(f"top_{p}pct_revenue_share") for p in (10, 20)])
-    return base.join(shares)  # two single rows
+    return attach(base, shares)
 
 
 # ---------------------------------------------------------------- lens 2
@@ -71,7 +72,7 @@ def lens2(first: DataFrame, second: DataFrame, history: DataFrame | None = None)
     """One row of rates and changes between two periods. A zero base gives 100 for growth and 0 for none."""
     moved = migration(first, second, history).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("retained", "churned", "new", "reactivated")])
     sums = lambda df, n: df.agg(F.count(F.lit(1)).alias(f"customers_{n}"), F.coalesce(F.sum("total_spend"), F.lit(0)).alias(f"revenue_{n}"), F.coalesce(F.sum("frequency"), F.lit(0)).alias(f"orders_{n}"))
-    row = moved.join(sums(first, 1)).join(sums(second, 2))  # single rows
+    row = attach(moved, sums(first, 1), sums(second, 2))
     aov = lambda n: F.when(F.col(f"orders_{n}") > 0, F.round(F.col(f"revenue_{n}").cast("decimal(28,10)") / F.col(f"orders_{n}"), 10)).otherwise(F.lit(0)).cast("decimal(28,10)")
     change = lambda a, b: F.when(a != 0, F.round((b - a).cast("decimal(28,10)") / a.cast("decimal(28,10)") * 100, 2)).when(b > 0, F.lit(100)).otherwise(F.lit(0)).cast(MONEY)
     c = F.col
@@ -202,9 +203,9 @@ def health(periods: DataFrame, assignments: DataFrame, order: Column | None = No
     active = periods.join(assignments.select("customer_id").distinct(), "customer_id", "left_semi").agg(F.count_distinct("customer_id").alias("active"))
     revenue = periods.join(assignments, "customer_id").groupBy("cohort_id").agg(F.sum("total_spend").alias("revenue"))
     repeat = repeat_behaviour(periods, assignments).select("cohort_id", "repeat_rate", "cohort_size")
-    sums = revenue.join(F.broadcast(newest)).agg(F.sum("revenue").alias("total"), F.sum(F.when(F.col("cohort_id") == F.col("new.cohort_id"), F.col("revenue")).otherwise(0)).alias("newest_revenue"))
-    rates = repeat.join(F.broadcast(newest)).agg(F.max(F.when(F.col("cohort_id") == F.col("new.cohort_id"), F.col("repeat_rate"))).alias("new_rate"), F.max(F.when(F.col("cohort_id") == F.col("old.cohort_id"), F.col("repeat_rate"))).alias("old_rate"), F.count(F.lit(1)).alias("cohorts"))
-    row = newest.join(active).join(sums).join(rates)  # single rows
+    sums = attach(revenue, newest).agg(F.sum("revenue").alias("total"), F.sum(F.when(F.col("cohort_id") == F.col("new.cohort_id"), F.col("revenue")).otherwise(0)).alias("newest_revenue"))
+    rates = attach(repeat, newest).agg(F.max(F.when(F.col("cohort_id") == F.col("new.cohort_id"), F.col("repeat_rate"))).alias("new_rate"), F.max(F.when(F.col("cohort_id") == F.col("old.cohort_id"), F.col("repeat_rate"))).alias("old_rate"), F.count(F.lit(1)).alias("cohorts"))
+    row = attach(newest, active, sums, rates)
     c = F.col
     ratio = c("new_rate").cast("double") / F.nullif(c("old_rate").cast("double"), F.lit(0.0))
     trend = F.when(c("cohorts") < 2, "stable").when(c("old_rate") == 0, F.when(c("new_rate") > 0, "improving").otherwise("stable")).when(ratio >= 1.1, "improving").when(ratio <= 0.9, "declining").otherwise("stable")

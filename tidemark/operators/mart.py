@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.rows import attach
+
 MONEY = "decimal(18,2)"
 GRANULARITIES = ("month", "quarter", "year")
 MONTHS = {"month": 1, "quarter": 3, "year": 12}
@@ -84,7 +86,7 @@ def until(lines: DataFrame, cut_off: Column) -> DataFrame:
 def mart_summary(orders: DataFrame, periods: DataFrame) -> DataFrame:
     a = orders.agg(F.count(F.lit(1)).alias("order_count"))
     b = periods.agg(F.count(F.lit(1)).alias("period_count"), F.count_distinct("customer_id").alias("customer_count"), F.min("period_start").alias("first_period"), F.max("period_start").alias("last_period"))
-    return a.join(b)  # two single rows
+    return attach(a, b)
 
 
 def mart_json(orders: DataFrame, periods: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.rows import attach
+
 
 def sums_before(df: DataFrame, order: str, sums: list[str], *, descending: bool = False, buckets: int = 64) -> DataFrame:
     """Adds ``<c>_before``, the sum of each column over the rows strictly before a row. ``order`` is numeric and distinct,
@@ -15,7 +17,7 @@ def sums_before(df: DataFrame, order: str, sums: list[str], *, descending: bool
     """
     key = F.col(order).cast("double")
     edges = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 1000).alias("__edges"))
-    placed = df.join(F.broadcast(edges)).withColumn("__b", F.size(F.filter("__edges", lambda e: e < key))).drop("__edges")
+    placed = attach(df, edges).withColumn("__b", F.size(F.filter("__edges", lambda e: e < key))).drop("__edges")
     way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     across = Window.orderBy(way("__b")).rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])  # at most `buckets` rows

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.rows import attach
+
 # ---------------------------------------------------------------- expectations
 
 
@@ -36,7 +38,7 @@ def run_suite(df: DataFrame, suite: list[Expectation]) -> DataFrame:
     for i, e in enumerate(suite):
         if e.kind == "unique" and e.column in have:
             repeated = df.groupBy(e.column).agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias(f"x{i}"))
-            facts = facts.join(repeated)  # single rows
+            facts = attach(facts, repeated)
     row = facts.first().asDict()
     out = []
     for i, e in enumerate(suite):
@@ -74,7 +76,7 @@ def alerts(results: DataFrame, rules: DataFrame, last_fired: DataFrame | None =
     fired within its cooldown (last_fired: rule, age_s) is silent."""
     facts = success_rate(results)
     failed = results.filter(~F.col("success")).select(F.col("kind").alias("name")).distinct()
-    fired = rules.join(facts).join(failed, F.col("rules_name").eqNullSafe(F.col("name")) if "rules_name" in rules.columns else F.lit(False), "left")
+    fired = attach(rules, facts).join(failed, F.col("rules_name").eqNullSafe(F.col("name")) if "rules_name" in rules.columns else F.lit(False), "left")
     hit = F.when(F.col("kind") == "success_rate_below", F.col("success_rate") < F.col("threshold")).when(F.col("kind") == "failures_above", F.col("failures") > F.col("threshold")).otherwise(F.col("name").isNotNull())
     out = fired.filter(hit).select("rule", "kind")
     if last_fired is not None:
@@ -92,7 +94,7 @@ def profile(df: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     base = df.agg(n.alias("row_count"), F.lit(len(df.columns)).alias("column_count"), cells.alias("missing_cells"), F.round(F.try_divide(cells.cast("double"), n.cast("double") * len(df.columns)) * 100, 6).alias("missing_pct"))
     distinct = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("duplicate_rows"))
-    return base.join(distinct)  # two single rows
+    return attach(base, distinct)
 
 
 def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -141,14 +143,14 @@ def compare_profiles(before: DataFrame, after: DataFrame) -> DataFrame:
     a, b = before.select(*[F.col(c).alias(f"a_{c}") for c in before.columns]), after.select(*[F.col(c).alias(f"b_{c}") for c in after.columns])
     d = lambda c: (F.col(f"b_{c}") - F.col(f"a_{c}")).alias(f"{c}_change")
     warn = F.filter(F.array(F.when(F.abs(F.col("b_row_count") - F.col("a_row_count")) > 0.1 * F.col("a_row_count"), F.lit("row count changed")), F.when(F.col("b_missing_pct") - F.col("a_missing_pct") > 5, F.lit("more missing values"))), lambda w: w.isNotNull())
-    return a.join(b).select(d("row_count"), d("column_count"), d("missing_pct"), d("duplicate_rows"), F.array_join(warn, "; ").alias("warnings"))
+    return attach(a, b).select(d("row_count"), d("column_count"), d("missing_pct"), d("duplicate_rows"), F.array_join(warn, "; ").alias("warnings"))
 
 
 def model_quality(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: mean share of missing values and of outliers (quartile fences), and the mean of their complements."""
     numeric = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
     fences = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in numeric]) if numeric else None
-    rows = df if fences is None else df.join(F.broadcast(fences))
+    rows = df if fences is None else attach(df, fences)
 
     def outlier(c: str) -> Column:
         lo, hi = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]

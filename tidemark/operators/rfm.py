@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import floor_days, quantile_bin
+from tidemark.functions.rows import attach
 
 MONEY = "decimal(18,2)"
 
@@ -31,7 +32,7 @@ def rfm_scores(rows: DataFrame, bins: int = 5) -> DataFrame:
     parts = {"r": "recency_days", "f": "frequency", "m": "monetary"}
     stats = [F.count_distinct(c).alias(f"n_{s}") for s, c in parts.items()]
     quantiles = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(k / q) for k in range(q + 1)])).alias(f"{s}_{q}") for s, c in parts.items() for q in range(2, bins + 1)]
-    edges = rows.agg(*quantiles).join(rows.agg(*stats))  # two single rows
+    edges = attach(rows.agg(*quantiles), rows.agg(*stats))
 
     def binned(s: str, c: str) -> Column:
         n = F.least(F.col(f"n_{s}"), F.lit(bins))
@@ -40,9 +41,9 @@ def rfm_scores(rows: DataFrame, bins: int = 5) -> DataFrame:
             chosen = F.when(n == q, F.col(f"{s}_{q}")).otherwise(chosen)
         return F.when(n > 1, quantile_bin(F.col(c).cast("double"), F.array_distinct(chosen)))
 
-    placed = rows.join(F.broadcast(edges)).withColumns({f"b_{s}": binned(s, c) for s, c in parts.items()})
+    placed = attach(rows, edges).withColumns({f"b_{s}": binned(s, c) for s, c in parts.items()})
     top = placed.agg(F.max("b_r").alias("top_r"))
-    out = placed.join(F.broadcast(top))
+    out = attach(placed, top)
     r = F.coalesce(F.col("top_r") - F.col("b_r") + 1, F.lit(3)).cast("int")
     f, m = (F.coalesce(F.col(f"b_{s}") + 1, F.lit(3)).cast("int") for s in "fm")
     scored = out.withColumns({"r_score": r, "f_score": f, "m_score": m}).withColumn("rfm_score", F.concat("r_score", "f_score", "m_score"))

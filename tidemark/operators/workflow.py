@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.rows import attach
 from tidemark.operators.ordered import sums_before
 
 
@@ -151,7 +152,7 @@ def latency(df: DataFrame, ms: str) -> DataFrame:
     """One row: p95 by the exclusive method of (n + 1) places, p99 by nearest rank."""
     counts = df.filter(F.col(ms).isNotNull()).groupBy(F.col(ms).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("k"))
     total = counts.agg(F.sum("k").alias("n"))
-    run = sums_before(counts, "x", ["k"]).join(F.broadcast(total))
+    run = attach(sums_before(counts, "x", ["k"]), total)
     at = lambda r: F.max(F.when((F.col("k_before") < r) & (r <= F.col("k_before") + F.col("k")), F.col("x")))
     place = F.lit(0.95) * (F.col("n") + 1)
     low = F.greatest(F.least(F.floor(place), F.col("n") - 1), F.lit(1))

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.rows import attach
 from tidemark.operators import labels as la
 from tidemark.operators import lenses as le
 from tidemark.operators import models as mo
@@ -268,7 +269,7 @@ def _lens4(spark: SparkSession, d: str) -> DataFrame:
 @REG.query()
 def cls_lens4(spark: SparkSession, d: str) -> DataFrame:
     rows = _lens4(spark, d)
-    return la.lens4_differences(rows).join(la.lens4_recommendations(rows))
+    return attach(la.lens4_differences(rows), la.lens4_recommendations(rows))
 
 
 @REG.query(f"WITH {au.PERIODS}, {au.COHORTS}, {au._HEALTH} SELECT CASE WHEN health_score >= 90 THEN 'excellent' WHEN health_score >= 80 THEN 'good' WHEN health_score >= 70 THEN 'fair' WHEN health_score >= 60 THEN 'poor' ELSE 'critical' END AS assessment, concat_ws('; ', CASE WHEN retention_rate < 70 THEN 'Invest in retention' END, CASE WHEN repeat_trend = 'declining' THEN 'Study recent cohorts' END, CASE WHEN revenue_predictability_pct < 60 THEN 'Strengthen existing cohorts' END, CASE WHEN acquisition_dependence_pct > 35 THEN 'Balance acquisition with retention' END) AS recommendations FROM hs")

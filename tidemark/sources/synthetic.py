@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.rows import attach
+
 
 @dataclass(frozen=True)
 class Scenario:
@@ -102,7 +104,7 @@ def checks(lines: DataFrame, people: DataFrame, promo_month: int | None = None)
     facts = lines.agg(F.count_if((F.col("quantity") < 0) | (F.col("unit_price") < 0)).alias("negative"), (F.count_distinct("order_id") / F.greatest(F.count_distinct("customer_id"), F.lit(1))).alias("density"), F.count_distinct("customer_id").alias("active"))
     spread = orders.agg((F.stddev_samp("spend").cast("double") / F.avg("spend").cast("double")).alias("cv"))
     repeated = people.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count(F.lit(1)).alias("people"))
-    row = facts.join(spread).join(repeated).first()
+    row = attach(facts, spread, repeated).first()
     out = [("non_negative", row["negative"] == 0, float(row["negative"])), ("density", row["density"] >= 1, float(row["density"])), ("spend_cv", 0.1 <= (row["cv"] or 0) <= 5, float(row["cv"] or 0)), ("no_duplicates", row["repeated"] == 0, float(row["repeated"])), ("coverage", row["active"] >= 0.5 * row["people"], row["active"] / max(1, row["people"]))]
     if promo_month is not None:
         month = lines.groupBy(F.date_trunc("month", "event_ts").alias("m")).agg(F.count_distinct("order_id").alias("n"))
