@@ -176,3 +176,17 @@ def test_models_recover_their_parameters(spark):
     spend = np.round(rng.gamma(6.0 * x, 1 / (q * x)), 2)
     gg = mo.fit_gamma_gamma(spark.createDataFrame([(int(a), float(b)) for a, b in zip(x, spend)], "frequency int, monetary_value double"))
     assert gg.p == pytest.approx(6.0, rel=0.25) and gg.q == pytest.approx(4.0, rel=0.25)
+
+
+def test_expected_purchases_of_many_and_few(spark):
+    import numpy as np
+
+    model, horizon = mo.BgNbd(0.8, 40.0, 1.4, 3.0), 100.0
+    df = spark.createDataFrame([(0.0, 0.0, 300.0), (3.0, 200.0, 300.0), (20_000.0, 299.0, 300.0)], "frequency double, recency double, T double")
+    got = [r[0] for r in df.select(mo.expected_purchases(model, horizon)("frequency", "recency", "T")).collect()]
+    for (x, tx, t), value in zip([(0.0, 0.0, 300.0), (3.0, 200.0, 300.0)], got):  # the untransformed form
+        series = float(mo.hyp2f1(np.array(0.8 + x), 3.0 + x, 1.4 + 3.0 + x - 1, horizon / (40 + t + horizon)))
+        grown = (1.4 + 3.0 + x - 1) / 0.4 * (1 - ((40 + t) / (40 + t + horizon)) ** (0.8 + x) * series)
+        alive = 1 / (1 + (x > 0) * 1.4 / max(3.0 + x - 1, 1e-9) * ((40 + t) / (40 + tx)) ** (0.8 + x))
+        assert value == pytest.approx(grown * alive, rel=1e-8)
+    assert np.isfinite(got[2]) and got[2] > 0

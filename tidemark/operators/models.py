@@ -154,9 +154,11 @@ def expected_purchases(model: BgNbd, horizon: float) -> Callable:
     def expect(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, tx, t in batches:
             x, tx, t = (np.asarray(v, float) for v in (x, tx, t))
-            series = hyp2f1(r + x, b + x, a + b + x - 1, horizon / (alpha + t + horizon))
-            grown = (a + b + x - 1) / (a - 1) * (1 - ((alpha + t) / (alpha + t + horizon)) ** (r + x) * series)
-            alive = 1 + (x > 0) * a / np.where(x > 0, b + x - 1, 1) * ((alpha + t) / (alpha + tx)) ** (r + x)
+            z = horizon / (alpha + t + horizon)
+            # Euler's transformation leaves small parameters, so that many purchases don't overflow the series
+            grown = (a + b + x - 1) / (a - 1) * (1 - (1 - z) ** (a - 1) * hyp2f1(a + b - 1 - r, a - 1, a + b + x - 1, z))
+            with np.errstate(over="ignore"):
+                alive = 1 + (x > 0) * a / np.where(x > 0, b + x - 1, 1) * ((alpha + t) / (alpha + tx)) ** (r + x)
             yield pd.Series(grown / alive)
 
     return expect

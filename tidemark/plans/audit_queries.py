@@ -325,7 +325,7 @@ l4r AS (SELECT p.*, cohort_id, {index} AS period_number FROM periods p JOIN assi
 l4s AS (SELECT cohort_id, period_number, count(*) AS active_customers, sum(total_orders) AS orders, sum(total_spend) AS spend, sum(total_margin) AS margin FROM l4r GROUP BY 1, 2),
 l4f AS (SELECT cohort_id, period_number, cohort_size, active_customers, {_pct_sql('active_customers', 'cohort_size')} AS pct_active, CASE WHEN active_customers <> 0 THEN round(orders::DOUBLE / active_customers + 1e-9, 2) ELSE 0 END::DECIMAL(18,2) AS aof,
  CASE WHEN orders <> 0 THEN round(spend::DOUBLE / orders + 1e-9, 2) ELSE 0 END::DECIMAL(18,2) AS aov, CASE WHEN spend <> 0 THEN round(margin::DOUBLE / spend::DOUBLE * 100 + sign(margin) * 1e-9, 2) ELSE 0 END::DECIMAL(18,2) AS margin_pct FROM l4s JOIN size USING (cohort_id)),
-l4 AS (SELECT *, round(cohort_size::DECIMAL(8,0) * pct_active::DECIMAL(5,2) * aof::DECIMAL(7,2) * aov::DECIMAL(8,2) * margin_pct::DECIMAL(5,2) * 0.0001::DECIMAL(4,4), 2)::DECIMAL(18,2) AS total_revenue FROM l4f)"""
+l4 AS (SELECT *, round((cohort_size::DECIMAL(38,0) * pct_active::DECIMAL(38,2) * aof::DECIMAL(38,2) * aov::DECIMAL(38,2) * margin_pct::DECIMAL(38,2) * 0.0001::DECIMAL(4,4))::DECIMAL(38,6), 2)::DECIMAL(18,2) AS total_revenue FROM l4f)"""
 
 
 _LEFT = "row_number() OVER (PARTITION BY customer_id ORDER BY period_start) - 1"
