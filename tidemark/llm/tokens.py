@@ -125,7 +125,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), lists], schema=OUT)
 
 
-def encode(documents: DataFrame, *, path: str = DEFAULT_PATH, doc_id: str = "doc_id", text: str = "text", docs_per_block: int = 2_000) -> DataFrame:
+def encode(documents: DataFrame, *, path: str = DEFAULT_PATH, doc_id: str = "doc_id", text: str = "text", docs_per_block: int = 20_000) -> DataFrame:
     """(doc_id, ids): the token ids of every document, without special tokens.
 
     Empty and null texts give an empty list; strings that look like special tokens are ordinary text; a repeated
