@@ -42,3 +42,17 @@ def quantile_bin(x: Column, edges: Column) -> Column:
     """Index of the right-closed value bin of ``x`` among sorted distinct ``edges``; the lowest edge belongs to bin 0."""
     below = F.size(F.filter(edges, lambda e: e < x)) - 1
     return F.greatest(below, F.lit(0))
+
+
+#: Names whose values are secrets.
+SECRETS = r"(?i)(password|passwd|pwd|secret|token|api_key|apikey|private_key)(\s*[=:]\s*)(\"[^\"]*\"|'[^']*'|[^\s,;&]+)"
+
+
+def redact(text: Column) -> Column:
+    """A text with the values of secrets masked."""
+    return F.regexp_replace(text, F.lit(SECRETS), F.lit("$1$2***"))
+
+
+def sha256_key(sql: Column, params: Column) -> Column:
+    """The cache key of an SQL text (lower case, single blanks) and its parameters as JSON."""
+    return F.sha2(F.concat(F.lower(F.trim(F.regexp_replace(sql, r"\s+", " "))), F.lit("|"), params), 256)
