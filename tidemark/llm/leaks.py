@@ -209,7 +209,7 @@ def _scan(grams: Grams):
     return scan
 
 
-def leaks(documents: DataFrame, items: DataFrame, *, n: int = 12, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", grams_per_pass: int = 2_000_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, *, n: int = 12, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", grams_per_pass: int = 200_000) -> DataFrame:
     """(doc_id, item_id): the documents that hold at least ``n`` consecutive words of an item, in its order.
 
     Words are maximal runs of letters and digits after folding case, compatibility forms, invisible characters,
