@@ -8,7 +8,7 @@ from tidemark.llm.tokens import DEFAULT_PATH, Vocabulary, decode, encode
 
 TEXTS = [
     None, "", " ", "\n\n", "   \t \r\n x", "Hello, world! It's 3.14 o'clock; we'll see they're I'd", "<|endoftext|> is text <s></s>", "สวัสดีครับ ทุกคน", "नमस्ते दुनिया", "你好，世界！等等……", "こんにちは。", "Привет, мир!", "مرحبا بالعالم",
-    "﻿bom", "a b　c d\u0085e", "zero​width ­soft", "👩‍🔬🚀 é é ½ Ⅷ ٣", "=" * 1000, "a" * 3000, "x y " * 2000, "\x00\x01\x7f", "def f(x):\n    return x**2  # 平方\n", "'S 'T 's's ''ll", "𝒳𝓎 𠀀",
+    "﻿bom", "a b　c d\u0085e", "zero​width ­soft", "👩‍🔬🚀 é é ½ Ⅷ ٣", "=" * 1000, "a" * 3000, "x y " * 2000, "\x00\x01\x7f", "def f(x):\n    return x**2  # 平方\n", "'S 'T 's's ''ll", "𝒳𝓎 𠀀", "the mark \uffff in\uffff a text \uffff\uffff",
 ]
 
 

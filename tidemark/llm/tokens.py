@@ -25,9 +25,15 @@ from pyspark.sql import functions as F
 from tidemark.session import checkpointed
 
 DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.json"
+#: Documents of neighbouring ids that lie in one block.
+NEIGHBOURS = 512
 #: Fixed: the pattern that splits text before the merges. (?U) gives \s its Unicode meaning, as the tokenizer has it.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BUCKETS = 8192
+#: A character that hardly any text holds; those that do are handed over as lists of words.
+MARK = "\uffff"
+BUCKETS = 2_048  # few enough for a processor's cache
+#: Above all ranks: a pair that no merge knows.
+NO_RANK = 2**31 - 1
 
 #: Bytes that stand for themselves as characters in the vocabulary; the others are numbered on from 256.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -69,6 +75,12 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
 
+def marked_words(text: Column) -> Column:
+    """The text with a mark after each word: words cover all of a text, so this says where they end. Null where the text
+    holds the mark itself."""
+    return F.when(~F.contains(text, F.lit(MARK)), F.regexp_replace(text, F.lit(PATTERN), F.lit("$0" + MARK)))
+
+
 def fold_merges(word: Column, vocabulary: Vocabulary) -> Column:
     """The ids of a word. Pieces are kept in one string, each between blanks (no piece holds one); a step replaces
     every occurrence of the pair of lowest rank, and the fold stands still when no pair has a rank."""
@@ -79,19 +91,44 @@ def fold_merges(word: Column, vocabulary: Vocabulary) -> Column:
 
     def lowest(p: Column) -> Column:
         n = F.size(p)
-        pair = lambda a, b: _let(F.concat(a, F.lit(" "), b), lambda k: _let(_look_up(ranks, k), lambda r: F.when(r.isNotNull(), F.struct(r.alias("rank"), k.alias("pair")))))
+        key = lambda a, b: F.concat(a, F.lit(" "), b)
+        pair = lambda a, b: F.struct(F.coalesce(_look_up(ranks, key(a, b)), F.lit(NO_RANK)).alias("rank"), key(a, b).alias("pair"))
         return F.when(n > 1, F.array_min(F.zip_with(F.slice(p, 1, n - 1), F.slice(p, 2, n - 1), pair)))
 
     def merged(state: Column, best: Column) -> Column:
         old = F.concat(F.lit(" "), F.replace(best["pair"], F.lit(" "), F.lit("  ")), F.lit(" "))
         new = F.concat(F.lit(" "), F.replace(best["pair"], F.lit(" "), F.lit("")), F.lit(" "))
-        return F.when(best.isNull(), F.struct(state["s"].alias("s"), F.lit(True).alias("over"))).otherwise(F.struct(F.replace(state["s"], old, new).alias("s"), F.lit(False).alias("over")))
+        return F.when(best.isNull() | (best["rank"] == NO_RANK), F.struct(state["s"].alias("s"), F.lit(True).alias("over"))).otherwise(F.struct(F.replace(state["s"], old, new).alias("s"), F.lit(False).alias("over")))
 
     step = lambda state, _: F.when(state["over"], state).otherwise(_let(_let(pieces(state["s"]), lowest), lambda best: merged(state, best)))
     over = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(letters), F.lit(1))), F.struct(start.alias("s"), F.lit(False).alias("over")), step)
     return F.transform(pieces(over["s"]), lambda p: _look_up(ids, p))
 
 
+class Lexicon:
+    """The words of a block with their ids."""
+
+    def __init__(self, parts: list[tuple[pa.Array, pa.Array]]):
+        self.words = pa.concat_arrays([w for w, _ in parts]) if parts else pa.array([], pa.string())
+        lists = pa.concat_arrays([i for _, i in parts]) if parts else pa.array([], pa.list_(pa.int32()))
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.counts = np.append(counts, 0)  # the last stands for the empty string
+        self.starts = np.concatenate(([0], np.cumsum(counts)))
+        self.ids = lists.flatten().to_numpy(zero_copy_only=False)
+
+    def rewrite(self, texts: pa.Array, empty: int) -> pa.Array:
+        """The ids of texts given as lists of words, of which exactly ``empty`` are empty strings."""
+        found = pc.index_in(texts.flatten(), value_set=self.words)
+        if found.null_count != empty:
+            raise ValueError("a word has no ids")
+        place = found.fill_null(len(self.words)).to_numpy(zero_copy_only=False)
+        n = self.counts[place]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids[np.repeat(self.starts[place] - ends[:-1], n) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, np.int32)
+        per_text = np.concatenate(([0], np.cumsum(pc.list_value_length(texts).to_numpy(zero_copy_only=False))))
+        return pa.ListArray.from_arrays(pa.array(ends[per_text].astype(np.int32)), pa.array(ids, pa.int32()))
+
+
 OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -110,19 +147,16 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append((batch.column(3).slice(a, b - a), batch.column(4).slice(a, b - a)))
                 continue
             if lexicon is None:
-                known = pa.concat_arrays([w for w, _ in parts]) if parts else pa.array([], pa.string())
-                lists = pa.concat_arrays([i for _, i in parts]) if parts else pa.array([], pa.list_(pa.int32()))
-                counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) if parts else np.zeros(0, np.int64)
-                lexicon, parts = (known, np.concatenate(([0], np.cumsum(counts)))[:-1], counts, lists.flatten().to_numpy(zero_copy_only=False)), []
-            known, starts, counts, flat = lexicon
-            words = batch.column(5).slice(a, b - a)
-            place = pc.index_in(words.flatten(), value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
-            n = counts[place] if len(place) else np.zeros(0, np.int64)
-            ends = np.concatenate(([0], np.cumsum(n)))
-            ids = flat[np.repeat(starts[place] - ends[:-1], n) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, np.int32)
-            per_doc = np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))))
-            lists = pa.ListArray.from_arrays(pa.array(ends[per_doc].astype(np.int32)), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), lists], schema=OUT)
+                lexicon, parts = Lexicon(parts), []
+            marked, listed = batch.column(5).slice(a, b - a), batch.column(6).slice(a, b - a)
+            docs = batch.column(2).slice(a, b - a)
+            plain = marked.is_valid()
+            if (n := plain.true_count) > 0:  # each ends with a mark, so splitting leaves an empty string at its end
+                texts = pc.split_pattern(marked.filter(plain), MARK)
+                yield pa.RecordBatch.from_arrays([docs.filter(plain), lexicon.rewrite(texts, n)], schema=OUT)
+            if n < b - a:
+                rest = pc.invert(plain)
+                yield pa.RecordBatch.from_arrays([docs.filter(rest), lexicon.rewrite(listed.filter(rest), 0)], schema=OUT)
 
 
 def encode(documents: DataFrame, *, path: str = DEFAULT_PATH, doc_id: str = "doc_id", text: str = "text", docs_per_block: int = 20_000) -> DataFrame:
@@ -136,15 +170,18 @@ def encode(documents: DataFrame, *, path: str = DEFAULT_PATH, doc_id: str = "doc
     """
     spark = documents.sparkSession
     blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // docs_per_block))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64(F.floor(F.col("doc_id") / F.lit(NEIGHBOURS))), F.lit(blocks)).cast("int")
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("block", block)
+    # neighbours by id share blocks, so that most words repeat before the shuffle; other ids are spread by their hash alone
     seen = checkpointed(docs.select("block", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).distinct())
     lexicon = checkpointed(seen.select("word").distinct().select("word", fold_merges(F.col("word"), Vocabulary(path)).alias("ids")))
     null = F.lit(None)
     known = seen.join(lexicon, "word").select("block", F.lit(0).alias("kind"), null.cast("bigint").alias("doc_id"), "word", "ids", null.cast("string").alias("text"))
     every = known.union(docs.select("block", F.lit(1).alias("kind"), "doc_id", null.cast("string").alias("word"), null.cast("array<int>").alias("ids"), "text"))
     placed = every.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
-    cut = placed.select("block", "kind", "doc_id", "word", "ids", F.when(F.col("kind") == 1, words_of(F.col("text"))).alias("words"))
+    text_ = F.when(F.col("kind") == 1, F.coalesce("text", F.lit("")))
+    listed = F.when(F.contains(text_, F.lit(MARK)), words_of(text_))
+    cut = placed.select("block", "kind", "doc_id", "word", "ids", marked_words(text_).alias("marked"), listed.alias("words"))
     return cut.mapInArrow(_rewrite, "doc_id bigint, ids array<int>")
 
 
