@@ -49,6 +49,7 @@ COMMENTS = {
     "python": re.compile(r"""#[^\n\r]*|(?<![\w])[rRuUbBfF]{0,2}(?:\"{3}(?:\\.|[^\\])*?(?:\"{3}|\Z)|'{3}(?:\\.|[^\\])*?(?:'{3}|\Z))|(?<![\w])[rRuUbBfF]{0,2}"(?:\\.|[^"\\\n\r])*"|(?<![\w])[rRuUbBfF]{0,2}'(?:\\.|[^'\\\n\r])*'""", re.S),
 }
 ASSIGNMENT = re.compile(r"^[ \t]*[\w.\"\[\]]+ = [^\n;{]*[)\]\"\d]$", re.M)
+SETTING = re.compile(r"^[ \t]*(?:- )?[A-Za-z_][\w-]*:(?: [^\s,;{}]+| \"[^\"\n]*\"| '[^'\n]*')?$", re.M)
 LINE_MARK = {"c": re.compile(r"//+!?"), "rust": re.compile(r"//+!?"), "sql": re.compile(r"--+"), "hash": re.compile(r"#+"), "python": re.compile(r"#+:?")}
 STRING = re.compile(r"""([rRuUbBfF]{0,2})(\"{3}|'{3}|"|')""")
 OPENS_BODY = re.compile(r"(?:async\s+def|def|class)\b|.*\)\s*(?:->.*)?:\s*\Z")
@@ -78,6 +79,8 @@ def kind(text: str, path: str | None, prog_lang: str | None) -> str:
     scores = {f: sum(outside.count(s) for s in signs) for f, signs in SIGNS.items()}
     if " = " in outside:
         scores["python"] += len(ASSIGNMENT.findall(outside))
+    if ":\n" in outside or ": " in outside:
+        scores["hash"] += len(SETTING.findall(outside))
     scores["rust"] = scores["rust"] + scores["c"] if scores["rust"] > 0.4 * scores["c"] and ("fn " in outside or "let " in outside) and "function " not in outside and "const " not in outside else 0
     if scores["css"] and not ("{" in outside and ("px" in outside or "em" in outside or "color" in outside)):
         scores["css"] = 0
