@@ -112,7 +112,7 @@ def agg_dq(spark: SparkSession, d: str) -> DataFrame:
     return qu.run_suite(table(spark, d, "customer_identifiers"), SUITE)
 
 
-@REG.query("SELECT 'low rate' AS rule, 'success_rate_below' AS kind UNION ALL SELECT 'nulls', 'expectation_failed'")
+@REG.query("SELECT 'low rate' AS rule, 'success_rate_below' AS kind UNION ALL SELECT 'nulls', 'expectation_failed' WHERE (SELECT count(*) FROM customer_identifiers WHERE customer_id IS NULL OR acquisition_ts IS NULL) > 0")
 def agg_alerts(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame([("low rate", "success_rate_below", 0.95, 60, None), ("many", "failures_above", 50.0, 60, None), ("nulls", "expectation_failed", None, 60, "not_null"), ("quiet", "success_rate_below", 0.95, 600, None)], "rule string, kind string, threshold double, cooldown_s int, rules_name string")
     fired = spark.createDataFrame([("quiet", 30), ("low rate", 100)], "rule string, age_s int")
