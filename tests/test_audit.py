@@ -190,3 +190,11 @@ def test_expected_purchases_of_many_and_few(spark):
         alive = 1 / (1 + (x > 0) * 1.4 / max(3.0 + x - 1, 1e-9) * ((40 + t) / (40 + tx)) ** (0.8 + x))
         assert value == pytest.approx(grown * alive, rel=1e-8)
     assert np.isfinite(got[2]) and got[2] > 0
+
+
+def test_series_does_not_overflow():
+    import numpy as np
+
+    assert mo.hyp2f1(1.0, 1.0, 2.0, 0.5) == pytest.approx(2 * np.log(2))
+    a, z = 1000.0, 0.9
+    assert mo.hyp2f1(a, 2.0, 2.0, z, a * np.log1p(-z)) == pytest.approx(1.0)  # (1 - z)^-a, scaled back

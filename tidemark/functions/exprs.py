@@ -20,9 +20,14 @@ def from_micros(us: str) -> Column:
     return F.expr(f"timestampadd(MICROSECOND, `{us}`, {EPOCH})")
 
 
+def elapsed_us(later: Column, earlier: Column) -> Column:
+    """Microseconds between two naive timestamps, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", earlier, later)
+
+
 def floor_days(later: Column, earlier: Column) -> Column:
     """Whole elapsed days, floored; not calendar days."""
-    return F.floor((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(86_400_000_000)).cast("int")
+    return F.floor(elapsed_us(later, earlier) / F.lit(86_400_000_000)).cast("int")
 
 
 def pct_change(new: Column, old: Column, zero_base: Column | None = None) -> Column:

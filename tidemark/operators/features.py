@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.exprs import elapsed_us
+
 TYPES = ("STRING", "INTEGER", "FLOAT", "BOOLEAN", "TIMESTAMP", "JSON")
 
 
@@ -85,7 +87,7 @@ def store_stats(values: DataFrame, now: Column) -> DataFrame:
 
 
 def session_minutes(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(60_000_000.0)
+    return elapsed_us(end, start) / F.lit(60_000_000.0)
 
 
 def popularity(views: Column, rating: Column) -> Column:

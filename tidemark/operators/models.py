@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.exprs import elapsed_us
+
 DAY_US = 86_400_000_000
 
 
 def days_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(float(DAY_US))
+    return elapsed_us(later, earlier) / F.lit(float(DAY_US))
 
 
 def bgnbd_inputs(periods: DataFrame, observation_end: Column) -> DataFrame:
@@ -101,7 +103,7 @@ def fit_bgnbd(inputs: DataFrame, most: int = 200_000) -> BgNbd:
     tx = np.minimum(tx, t)
 
     def loss(theta: np.ndarray) -> float:
-        if np.any(np.abs(theta) > 12):
+        if np.any(np.abs(theta) > (8, 14, 7, 7)):  # beyond lies no other fit, only a flat ridge
             return 1e18
         r, alpha, a, b = np.exp(theta)
         a1 = _lgamma(r + x) - math.lgamma(r) + r * math.log(alpha)
@@ -133,16 +135,19 @@ def prob_alive(model: BgNbd) -> Column:
     return F.when(x > 0, 1 / (1 + odds)).otherwise(F.lit(1.0))
 
 
-def hyp2f1(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """The hypergeometric series for 0 <= z < 1, summed until terms vanish."""
-    a, b, c, z = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, c, z)))
-    term, total = np.ones(a.shape), np.ones(a.shape)
+def hyp2f1(a: np.ndarray, b: np.ndarray, c: np.ndarray, z: np.ndarray, log_factor: np.ndarray | float = 0.0) -> np.ndarray:
+    """The hypergeometric series for 0 <= z < 1 times exp(log_factor), summed until terms vanish; sums are scaled down before
+    they overflow, and the factor brings them back."""
+    a, b, c, z, factor = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, c, z, log_factor)))
+    term, total, scale = np.ones(a.shape), np.ones(a.shape), factor.copy()
     for k in range(20_000):
-        term = term * (a + k) * (b + k) / (c + k) / (k + 1) * z
+        term = term * ((a + k) / (c + k) * ((b + k) / (k + 1)) * z)
         total = total + term
+        if (large := np.abs(term) > 1e150).any():
+            term, total, scale = np.where(large, term * 1e-150, term), np.where(large, total * 1e-150, total), np.where(large, scale + 150 * math.log(10), scale)
         if np.all(np.abs(term) <= 1e-13 * np.abs(total)):
             break
-    return total
+    return total * np.exp(scale)
 
 
 def expected_purchases(model: BgNbd, horizon: float) -> Callable:
@@ -156,7 +161,7 @@ def expected_purchases(model: BgNbd, horizon: float) -> Callable:
             x, tx, t = (np.asarray(v, float) for v in (x, tx, t))
             z = horizon / (alpha + t + horizon)
             # Euler's transformation leaves small parameters, so that many purchases don't overflow the series
-            grown = (a + b + x - 1) / (a - 1) * (1 - (1 - z) ** (a - 1) * hyp2f1(a + b - 1 - r, a - 1, a + b + x - 1, z))
+            grown = (a + b + x - 1) / (a - 1) * (1 - hyp2f1(a + b - 1 - r, a - 1, a + b + x - 1, z, (a - 1) * np.log1p(-z)))
             with np.errstate(over="ignore"):
                 alive = 1 + (x > 0) * a / np.where(x > 0, b + x - 1, 1) * ((alpha + t) / (alpha + tx)) ** (r + x)
             yield pd.Series(grown / alive)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.exprs import floor_days
 from tidemark.functions.rows import attach
 
 # ---------------------------------------------------------------- expectations
@@ -125,7 +126,7 @@ def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 def profile_datetime(df: DataFrame, column: str) -> DataFrame:
     lo, hi = F.min(column), F.max(column)
-    days = F.floor((F.unix_micros(hi.cast("timestamp")) - F.unix_micros(lo.cast("timestamp"))) / F.lit(86_400_000_000)).cast("bigint")
+    days = floor_days(hi, lo).cast("bigint")
     return df.agg(lo.alias("min"), hi.alias("max"), days.alias("range_days"))
 
 

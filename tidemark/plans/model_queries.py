@@ -361,7 +361,6 @@ def src_json_txn(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "txn_lines").select("order_id", "customer_id", F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("event_ts"), "product_id", "quantity", "unit_price", "unit_cost")
     lines.write.json(path)
     raw = spark.read.schema(files.TRANSACTIONS).json(path)
-    ts = lambda c: F.try_to_timestamp(F.regexp_replace(c, "Z$", "+00:00")).cast("timestamp_ntz")
-    return files.transactions_summary(raw.withColumns({"event_ts": ts("event_ts"), "order_ts": ts("order_ts")}))
+    return files.transactions_summary(files.with_times(raw))
 
 

@@ -7,7 +7,7 @@ import os
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StructType
@@ -48,11 +48,20 @@ def read_transactions(spark: SparkSession, path: str, jail: str | None = None, l
     if jail is not None and os.path.commonpath([os.path.realpath(path), os.path.realpath(jail)]) != os.path.realpath(jail):
         raise ValueError("path lies outside the data folder")
     raw = spark.read.schema(TRANSACTIONS).option("multiLine", True).json(path)
-    ts = lambda c: F.try_to_timestamp(F.regexp_replace(c, "Z$", "+00:00")).cast("timestamp_ntz")
-    out = raw.withColumns({"event_ts": ts("event_ts"), "order_ts": ts("order_ts")})
+    out = with_times(raw)
     return out.limit(limit) if limit is not None else out
 
 
+def with_times(raw: DataFrame) -> DataFrame:
+    """Transactions with naive UTC times from ISO texts; texts without zone are taken as they are."""
+
+    def naive(c: str) -> Column:
+        utc = F.when(F.col(c).endswith("Z"), F.regexp_replace(c, "Z$", "").try_cast("timestamp_ntz"))
+        return F.coalesce(utc, F.try_to_timestamp(c).cast("timestamp_ntz"))
+
+    return raw.withColumns({"event_ts": naive("event_ts"), "order_ts": naive("order_ts")})
+
+
 def transactions_summary(df: DataFrame) -> DataFrame:
     ts = F.coalesce("event_ts", "order_ts")
     return df.agg(F.count(F.lit(1)).alias("transactions"), F.count_distinct("customer_id").alias("customers"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
