@@ -41,6 +41,22 @@ OPEN, CLOSE = dict(zip("«「『([（【", "»」』)]）】")), dict(zip("»」
 WORD_BEFORE = re.compile(r"[^\s(\[{\"“„«»（「『”’`]+\Z")
 CODE_LIKE = re.compile(r"`|[A-Za-z]\w*(?:[._]\w+)+|[a-z]+\w*[A-Z]\w*|\w+\(|https?://|--?\w")
 CUT, UNBALANCED = 3.0, -4.5
+QUOTES = re.compile(r'["“”„«»‟「」『』‘’]')
+STOPS = ".。．｡।॥"
+QUOTE_OF = {"”": "“„", "‟": "“„", "»": "«", "」": "「", "』": "『", "’": "‘"}
+#: What introduces a quotation, directly before it.
+INTRODUCES = re.compile(
+    r"""(?:[:：]|(?:\b(?:said|says?|asks?|asked|answers?|answered|repl(?:y|ies|ied)|writes?|wrote|tells?|told|adds?|added|sagte?|schreibt|schrieb|fragte?|dit|demande|écrit|dice|dijo|escribe|pregunta|говорит|сказала?|пишет|написала?|спрашивает|спросила?)"""
+    r"""|(?<!小)[说說]|[问問答喊]|[说說问問答喊写寫]道|ว่า|कह[ाते]+(?: है)?|बोला|पूछा|قالت?|[يت]قول|سأل)[,，،]?)[\s\u3000]*\Z"""
+)
+#: What goes on with the sentence after a quotation.
+GOES_ON = re.compile(
+    r"""然[后後]|接着|[随隨][后後]|之[后後前]|[后後](?![来來者面续續])|[时時](?![间間常候刻])|[的了和]|[与與](?!此)|或|以?及|而|[并並](?![非不没])|就|便|才|[则則]|字[样樣]|一[词詞句]|等(?![等待到])"""
+    r"""|と(?!て|ころ|りわけ|に|も)|って|[をへに]|の(?!ち)|は(?!い|じ)|が(?!ん)|も(?!し|ち|う)|や(?!は|め)|から|まで|より|など|なら|で|だ(?!が|け)|(?:이?라|하)(?:고|는|며)"""
+    r"""|แล้ว|และ|หรือ|ก่อน|ซึ่ง|ที่|จาก|(?:और|तथा|या|फिर|कि|को|क[ेीा]|से|में|पर|तो|ही|भी|ثم|أو|في|من|على|إلى)(?!\w)"""
+    r"""|(?:and|or|but|then|while|when|before|after|as|to|in|on|at|if|for|with|from|by|is|was|und|oder|aber|dann|et|ou|mais|puis|y|e|o|pero|luego|и|или|а|но|затем|потом)(?!\w)"""
+)
+SAYS = re.compile(r"[他她它我你]?[们們]?(?:[说說问問答喊]道?|[写寫]道)(?![:：])")
 
 
 def _script(c: str) -> str:
@@ -99,9 +115,56 @@ def _after_number(text: str, at: int) -> bool:
     return i >= 0 and text[i].isdigit()
 
 
+def _openers(text: str) -> dict[int, int]:
+    """The opening place of each closing quotation mark."""
+    partner, stack, held, straight = {}, [], dict.fromkeys("„“«「『‘", 0), -1
+    for m in QUOTES.finditer(text):
+        i, c = m.start(), m.group()
+        if c == '"':
+            if straight >= 0:
+                partner[i] = straight
+            straight = -1 if straight >= 0 else i
+            continue
+        wanted = "„" if c == "“" and stack and stack[-1][0] == "„" else QUOTE_OF.get(c)
+        if wanted is None:
+            stack.append((c, i))
+            held[c] += 1
+        elif any(held[w] for w in wanted):
+            while stack:
+                s, place = stack.pop()
+                held[s] -= 1
+                if s in wanted:
+                    partner[i] = place
+                    break
+    return partner
+
+
+def _last_quote(text: str, end: int) -> int:
+    i = end - 1
+    while text[i] in "*_ \u00a0\u202f":
+        i -= 1
+    return i
+
+
+def _after_quotation(text: str, opener: int, stop: bool, follows: int) -> float:
+    """How well a sentence ends with a quotation that opens at ``opener`` (-1: unknown) and closes with a full stop or another mark."""
+    before = text[max(0, opener - 24) : max(0, opener)].rstrip()
+    introduced = INTRODUCES.search(before) is not None
+    own = opener >= 0 and (not before or before[-1] in ".!?…。！？．｡।॥؟\"”’»」』)]）】")
+    if introduced:
+        score = 0.0 if stop else -1.0
+    elif own:
+        score = -1.0 if stop else -1.5
+    else:
+        score = -1.5 if stop else -3.5
+    if GOES_ON.match(text, follows) or not introduced and SAYS.match(text, follows):
+        score -= 4.0
+    return score
+
+
 def _cuts(text: str) -> list[tuple[int, float, int]]:
     """(end, score, closed): candidate ends inside a paragraph. closed: 1 after a closing bracket, 2 after a quotation mark."""
-    out, n = [], len(text)
+    out, n, openers = [], len(text), None
     for m in MARK.finditer(text):
         body = m.group()
         if body[0] == " ":
@@ -146,8 +209,9 @@ def _cuts(text: str) -> list[tuple[int, float, int]]:
                 score -= 0.5
         elif script in ("cjk", "arab", "deva", "thai", "other") and not wide:
             score -= 0.2
-        if closed == 2 and script not in ("cased",) and not d.isupper():
-            continue
+        if closed == 2 and script != "cased" and not d.isupper():
+            openers = _openers(text) if openers is None else openers
+            score += _after_quotation(text, openers.get(_last_quote(text, e), -1), marks[-1] in STOPS, k)
         out.append((e, CUT + score, closed))
     return out
 
