@@ -21,3 +21,19 @@ QUOTATIONS = [
 @pytest.mark.parametrize("marked", QUOTATIONS)
 def test_quotations(marked):
     check(marked)
+
+
+SMALL = [
+    "⟦(See also No. 6 in the list.)⟧ ⟦emit_rate returns early.⟧", "⟦It runs.⟧ ⟦(See No. 6.)⟧ ⟦mergeCohort returns early.⟧", "⟦*(See a.py.)*⟧ ⟦emit_rate returns early.⟧", "⟦He says: \"Merge first.\"⟧ ⟦emit_rate returns early.⟧", "⟦it is so.⟧ ⟦(see the list.)⟧ ⟦they go on.⟧",
+    "⟦It is flat (under 5 KB!) in all runs.⟧", "⟦It is flat (under 5 KB!) emit_rate says.⟧", "⟦Ask Mo (Ph.D.) about it.⟧", "⟦He asks \"Lost. Retry?\" and waits.⟧", "⟦He says: \"Merge first.\" and waits.⟧",
+]
+
+
+@pytest.mark.parametrize("marked", SMALL)
+def test_small_letters_and_code(marked):
+    check(marked)
+
+
+def test_hostile_quotes_are_linear():
+    text = "He says “a.” b" * 5_000 + "„" * 20_000 + "x.” 他" * 5_000
+    assert sentence_spans(text, "a.txt")[-1][1] == len(text)

@@ -163,7 +163,8 @@ def _after_quotation(text: str, opener: int, stop: bool, follows: int) -> float:
 
 
 def _cuts(text: str) -> list[tuple[int, float, int]]:
-    """(end, score, closed): candidate ends inside a paragraph. closed: 1 after a closing bracket, 2 after a quotation mark."""
+    """(end, score, closed): candidate ends inside a paragraph. closed: 1 after a closing bracket, 2 after a quotation mark,
+    3 after a bracket that only closes a sentence if it also opens it."""
     out, n, openers = [], len(text), None
     for m in MARK.finditer(text):
         body = m.group()
@@ -200,8 +201,14 @@ def _cuts(text: str) -> list[tuple[int, float, int]]:
         if d.islower() and not wide:
             code = CODE_LIKE.match(text, k)
             score -= 0.5 if code else 1.0
-            if closed:
-                continue
+            if closed == 1:
+                closed = 3
+            elif closed == 2:
+                openers = _openers(text) if openers is None else openers
+                quoted = _after_quotation(text, openers.get(_last_quote(text, e), -1), marks[-1] in STOPS, k)
+                if quoted < 0 and not code:
+                    continue
+                score += quoted
             if score < -1 and not code:  # an abbreviation in a running sentence
                 continue
         elif d.isdigit():
@@ -277,7 +284,7 @@ def split(text: str) -> list[tuple[int, int]]:
         top, arg = -1e18, 0
         e, level, flag = places[j - 1], levels[j], flags[j - 1]
         opener = -1
-        if flag == 1:
+        if flag in (1, 3):
             i = e - 1
             while i >= 0 and i not in partner and text[i] in "\"'”’“»)]}」』）】〉》*_ ":
                 i -= 1
@@ -295,6 +302,8 @@ def split(text: str) -> list[tuple[int, int]]:
                 s -= 2.0 if opener >= starts[i] else 0.0
                 if opener > starts[i] and j <= len(ends) and _script(text[min(starts[j], n - 1)]) != "cased":
                     s -= 3.0
+            if flag == 3 and (opener < starts[i] or opener - starts[i] > 3 or text[starts[i] : opener].strip("*_")):
+                s -= 6.0
             if s > top:
                 top, arg = s, i
             if best[i] + 40 < top and j - i > 64:  # so far behind that no longer span can win
