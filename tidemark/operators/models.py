@@ -1,7 +1,7 @@
 """Inputs, fits and scores of the BG/NBD and Gamma-Gamma models, and lifetime value.
 
-Fitting groups customers with equal statistics and counts them in Spark, then maximises the published likelihoods on the
-driver over those counts. Closed forms are Columns; the hypergeometric function runs in Arrow batches.
+Fitting groups customers with equal statistics and counts them in Spark, then maximises the published likelihoods over
+those counts: on the driver where they are few, else by an aggregate over all of them at each step. Closed forms are Columns; the hypergeometric function runs in Arrow batches.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import elapsed_us
+from tidemark.session import checkpointed
 
 DAY_US = 86_400_000_000
 
@@ -88,45 +89,99 @@ class GammaGamma:
     gamma: float
 
 
-def _sufficient(df: DataFrame, columns: list[str], places: int, most: int) -> np.ndarray:
-    """Distinct rounded statistics with their counts; coarser rounding until there are at most ``most``."""
-    for k in range(places, -4, -1):
-        grouped = df.groupBy(*[F.round(F.col(c).cast("double"), k).alias(c) for c in columns]).agg(F.count(F.lit(1)).alias("n"))
-        if grouped.count() <= most:
-            return grouped.toPandas().to_numpy(dtype=float)
-    raise ValueError("too many distinct statistics")
+def _sufficient(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct statistics, as they are, with their counts n."""
+    return checkpointed(df.groupBy(*[F.col(c).cast("double").alias(c) for c in columns]).agg(F.count(F.lit(1)).cast("double").alias("n")))
 
 
-def fit_bgnbd(inputs: DataFrame, most: int = 200_000) -> BgNbd:
-    """Maximum likelihood over (frequency, recency, T); customers are grouped by these, rounded to days if need be."""
-    x, tx, t, n = _sufficient(inputs, ["frequency", "recency", "T"], 6, most).T
-    tx = np.minimum(tx, t)
+def _losses(stats: DataFrame, terms: Callable[..., np.ndarray], points: np.ndarray) -> np.ndarray:
+    """The mean negative log-likelihood at each point, by one aggregate over all statistics."""
 
-    def loss(theta: np.ndarray) -> float:
-        if np.any(np.abs(theta) > (8, 14, 7, 7)):  # beyond lies no other fit, only a flat ridge
-            return 1e18
-        r, alpha, a, b = np.exp(theta)
-        a1 = _lgamma(r + x) - math.lgamma(r) + r * math.log(alpha)
-        a2 = math.lgamma(a + b) + _lgamma(b + x) - math.lgamma(b) - _lgamma(a + b + x)
-        a3 = -(r + x) * np.log(alpha + t)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            a4 = np.where(x > 0, math.log(a) - np.log(b + np.maximum(x, 1) - 1) - (r + x) * np.log(alpha + tx), -np.inf)
-        return -float((n * (a1 + a2 + np.logaddexp(a3, a4))).sum() / n.sum())
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(points) + 1)
+        for batch in batches:
+            *columns, n = batch.to_numpy(dtype=float).T
+            total += [*((n * terms(p, *columns)).sum() for p in points), n.sum()]
+        yield pd.DataFrame({"k": np.arange(len(total)), "s": total})
 
-    return BgNbd(*np.exp(minimise(loss, np.array([0.0, math.log(max(t.mean() / 4, 1)), 0.0, 1.0]))))
+    sums = dict(stats.mapInPandas(part, "k int, s double").groupBy("k").agg(F.sum("s")).collect())
+    return -np.array([sums[k] for k in range(len(points))]) / sums[len(points)]
 
 
-def fit_gamma_gamma(inputs: DataFrame, most: int = 200_000) -> GammaGamma:
-    x, m, n = _sufficient(inputs.filter("monetary_value > 0"), ["frequency", "monetary_value"], 2, most).T
+def _newton(losses: Callable[[np.ndarray], np.ndarray], theta: np.ndarray, bounds: np.ndarray, steps: int = 50, h: float = 3e-4) -> np.ndarray:
+    """Damped Newton steps within +-bounds. Each takes two calls of ``losses``: one for gradient and curvature by
+    differences, one for the steps tried."""
+    n = len(theta)
+    unit, pairs = h * np.eye(n), [(i, j) for i in range(n) for j in range(i)]
+    offsets = np.vstack([np.zeros(n), unit, -unit, *(unit[i] + unit[j] for i, j in pairs), *(-unit[i] - unit[j] for i, j in pairs)])
+    for _ in range(steps):
+        f = losses(theta + offsets)
+        up, down, both, neither = f[1 : n + 1], f[n + 1 : 2 * n + 1], f[2 * n + 1 : 2 * n + 1 + len(pairs)], f[2 * n + 1 + len(pairs) :]
+        slope, curve = (up - down) / (2 * h), np.diag((up + down - 2 * f[0]) / h**2)
+        for (i, j), p, m in zip(pairs, both, neither):
+            curve[i, j] = curve[j, i] = (p + m + 2 * f[0] - up[i] - up[j] - down[i] - down[j]) / (2 * h**2)
+        values, vectors = np.linalg.eigh(curve)
+        tried = []
+        for damping in (0, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1, 10):
+            d = -vectors @ ((vectors.T @ slope) / (np.maximum(np.abs(values), 1e-8) + damping))
+            tried.append(np.clip(theta + d * min(1.0, 2.0 / max(np.abs(d).max(), 1e-300)), -bounds, bounds))
+        g = losses(np.array(tried))
+        k = int(np.argmin(g))
+        if g[k] < f[0]:
+            theta = tried[k]
+        if f[0] - g[k] <= 1e-12 * (abs(f[0]) + 1e-12):
+            break
+    return theta
+
+
+def _fit(stats: DataFrame, terms: Callable[..., np.ndarray], start: Callable[..., list[float]], bounds: np.ndarray, most: int) -> np.ndarray:
+    """The parameters of greatest likelihood: on the driver if there are at most ``most`` statistics; otherwise a fit of a
+    part of them only gives the start, and all of them are aggregated in Spark at each step."""
+    large = stats.count() > most
+    picked = stats.orderBy(F.xxhash64(*stats.columns), *stats.columns).limit(min(most, 20_000)) if large else stats
+    *columns, n = picked.toPandas().to_numpy(dtype=float).T
 
     def loss(theta: np.ndarray) -> float:
-        if np.any(np.abs(theta) > 14):
+        if np.any(np.abs(theta) > bounds):  # beyond lies no other fit, only a flat ridge
             return 1e18
-        p, q, g = np.exp(theta)
-        like = _lgamma(p * x + q) - _lgamma(p * x) - math.lgamma(q) + q * math.log(g) + (p * x - 1) * np.log(m) + p * x * np.log(x) - (p * x + q) * np.log(g + m * x)
-        return -float((n * like).sum() / n.sum())
+        return -float((n * terms(theta, *columns)).sum() / n.sum())
+
+    theta = minimise(loss, np.array(start(*columns)))
+    return np.exp(_newton(lambda points: _losses(stats, terms, points), theta, bounds) if large else theta)
+
 
-    return GammaGamma(*np.exp(minimise(loss, np.array([1.0, 1.0, math.log(m.mean())]))))
+def _of_counts(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray) -> np.ndarray:
+    """f(x), worked out once for each distinct count."""
+    distinct, at = np.unique(x, return_inverse=True)
+    return f(distinct)[at]
+
+
+def _bgnbd_terms(theta: np.ndarray, x: np.ndarray, tx: np.ndarray, t: np.ndarray) -> np.ndarray:
+    r, alpha, a, b = np.exp(theta)
+    tx = np.minimum(tx, t)
+    a1 = _of_counts(lambda x: _lgamma(r + x), x) - math.lgamma(r) + r * math.log(alpha)
+    a2 = math.lgamma(a + b) + _of_counts(lambda x: _lgamma(b + x) - _lgamma(a + b + x), x) - math.lgamma(b)
+    a3 = -(r + x) * np.log(alpha + t)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a4 = np.where(x > 0, math.log(a) - np.log(b + np.maximum(x, 1) - 1) - (r + x) * np.log(alpha + tx), -np.inf)
+    return a1 + a2 + np.logaddexp(a3, a4)
+
+
+def _gamma_gamma_terms(theta: np.ndarray, x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    p, q, g = np.exp(theta)
+    return _of_counts(lambda x: _lgamma(p * x + q) - _lgamma(p * x) + p * x * np.log(x), x) - math.lgamma(q) + q * math.log(g) + (p * x - 1) * np.log(m) - (p * x + q) * np.log(g + m * x)
+
+
+def fit_bgnbd(inputs: DataFrame, most: int = 200_000) -> BgNbd:
+    """Maximum likelihood over (frequency, recency, T); customers with the same three are counted together, none is rounded."""
+    stats = _sufficient(inputs, ["frequency", "recency", "T"])
+    return BgNbd(*_fit(stats, _bgnbd_terms, lambda x, tx, t: [0.0, math.log(max(t.mean() / 4, 1)), 0.0, 1.0], np.array([8.0, 14.0, 7.0, 7.0]), most))
+
+
+def fit_gamma_gamma(inputs: DataFrame, most: int = 200_000) -> GammaGamma:
+    """Maximum likelihood over (frequency, monetary_value) of customers with a positive value, none rounded."""
+    stats = _sufficient(inputs.filter("monetary_value > 0"), ["frequency", "monetary_value"])
+    return GammaGamma(*_fit(stats, _gamma_gamma_terms, lambda x, m: [1.0, 1.0, math.log(m.mean())], np.array([14.0] * 3), most))
 
 
 def prob_alive(model: BgNbd) -> Column:

@@ -15,7 +15,7 @@ from tidemark.operators import lenses as le
 from tidemark.operators import models as mo
 from tidemark.plans import audit_queries as au
 from tidemark.registry import Registry
-from tidemark.session import table
+from tidemark.session import checkpointed, table
 from tidemark.sources import files
 from tidemark.sources import synthetic as sy
 from tidemark.streaming import events as ev
@@ -49,14 +49,14 @@ def ml_prob_alive(spark: SparkSession, d: str) -> DataFrame:
 @REG.query()
 def ml_bgnbd(spark: SparkSession, d: str) -> DataFrame:
     """Fits the model and scores every customer for a year."""
-    inputs = agg_bgnbd_in(spark, d)
+    inputs = checkpointed(agg_bgnbd_in(spark, d))  # read by the fit and the scores
     model = mo.fit_bgnbd(inputs)
     return inputs.select("customer_id", mo.expected_purchases(model, mo.horizon_days(12))("frequency", "recency", "T").alias("predicted_purchases"), mo.prob_alive(model).alias("prob_alive"))
 
 
 @REG.query()
 def ml_gg(spark: SparkSession, d: str) -> DataFrame:
-    inputs = agg_gg_in(spark, d)
+    inputs = checkpointed(agg_gg_in(spark, d))  # read by the fit and the scores
     return inputs.select("customer_id", mo.expected_spend(mo.fit_gamma_gamma(inputs)).alias("predicted_avg_value"))
 
 
