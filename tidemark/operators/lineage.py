@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import checkpointed
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int = 10, upstream: bool = False) -> DataFrame:
-    """(root, node, distance): all nodes within ``depth`` steps of each start (root), by true breadth-first search; the root
-    itself only if a cycle leads back. Starts that aren't in the graph reach nothing.
+def reach(edges: DataFrame, starts: DataFrame, depth: int | None = 10, upstream: bool = False) -> DataFrame:
+    """(root, node, distance): all nodes within ``depth`` steps (None: any number) of each start (root), by true breadth-first
+    search; the root itself only if a cycle leads back. Starts that aren't in the graph reach nothing.
 
     Each step is one join of the frontier with the edges; visited nodes are removed by an anti-join, so a step costs what
     is new. Lineage is cut every few steps by a checkpoint.
@@ -19,7 +21,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 10, upstream: bool =
     links = edges.select(F.col(src).alias("__s"), F.col(dst).alias("__d")).filter("__s is not null and __d is not null").distinct()
     frontier = starts.select(F.col(starts.columns[0]).alias("root")).distinct().withColumn("node", F.col("root"))
     seen = None
-    for k in range(1, depth + 1):
+    for k in count(1) if depth is None else range(1, depth + 1):
         step = frontier.join(links, F.col("node") == F.col("__s")).select("root", F.col("__d").alias("node")).distinct()
         if seen is not None:
             step = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
@@ -28,11 +30,14 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = 10, upstream: bool =
             break
         found = frontier.withColumn("distance", F.lit(k))
         seen = found if seen is None else seen.union(found)
+        if k % 16 == 0:
+            seen = checkpointed(seen)
     return seen if seen is not None else frontier.withColumn("distance", F.lit(0)).limit(0)
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, depth: int = 10) -> list | None:
-    """One shortest path as a list of nodes, or None. Each node keeps one path, so the frontier never outgrows the graph."""
+def shortest_path(edges: DataFrame, start: str, end: str) -> list | None:
+    """One shortest path of any length as a list of nodes, or None. Each node keeps one path, so the frontier never outgrows
+    the graph; the search ends when no new node is found."""
     links = edges.select("src", "dst").distinct()
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
@@ -40,7 +45,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, depth: int = 10) -> li
     seen = frontier.select("node")
     if start == end:
         return [start]
-    for _ in range(depth):
+    for k in count(1):
         step = frontier.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         frontier = checkpointed(step.join(seen, "node", "left_anti"))
         hit = frontier.filter(F.col("node") == end).select("path").first()
@@ -49,7 +54,8 @@ def shortest_path(edges: DataFrame, start: str, end: str, depth: int = 10) -> li
         if frontier.isEmpty():
             return None
         seen = seen.union(frontier.select("node"))
-    return None
+        if k % 16 == 0:
+            seen = checkpointed(seen)
 
 
 def impact(vertices: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 10) -> DataFrame:
@@ -72,10 +78,19 @@ def dangling(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(ids, ends["missing"] == ids["id"], "left_anti").select("src", "dst", "missing")
 
 
-def on_cycles(edges: DataFrame, depth: int = 10) -> DataFrame:
-    """Nodes that reach themselves within ``depth`` steps."""
-    nodes = edges.select(F.col("src").alias("id")).distinct()
-    return reach(edges, nodes, depth).filter("root = node").select(F.col("root").alias("id"))
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves in any number of steps. Nodes without edges in or out are trimmed first, again and again,
+    so a graph without cycles costs no search."""
+    links = checkpointed(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
+    n = links.count()
+    while n:
+        kept = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        links, before = checkpointed(kept.select("src", "dst")), n
+        n = links.count()
+        if n == before:
+            break
+    nodes = links.select(F.col("src").alias("id")).distinct()
+    return reach(links, nodes, None).filter("root = node").select(F.col("root").alias("id"))
 
 
 def orphans(vertices: DataFrame, edges: DataFrame) -> DataFrame:
