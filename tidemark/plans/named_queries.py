@@ -152,9 +152,15 @@ def src_factory(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.query("SELECT feature_name, count(*) AS n FROM feature_values WHERE feature_name IN ('account_status', 'loyalty_tier') AND NOT (feature_name = 'account_status' AND value IS NOT NULL AND value <> 'null' AND trim(value, '\"') NOT IN ('active', 'dormant')) GROUP BY 1")
 def fs_write(spark: SparkSession, d: str) -> DataFrame:
-    """Values written to a store of their own, but for those that break a rule, and read back."""
+    """The written store's counts of the two features that the SQL names."""
+    return fs_write_all(spark, d).filter("feature_name in ('account_status', 'loyalty_tier')")
+
+
+@REG.query("SELECT feature_name, count(*) AS n FROM feature_values WHERE NOT coalesce(feature_name = 'account_status' AND value IS NOT NULL AND value <> 'null' AND trim(value, '\"') NOT IN ('active', 'dormant'), false) GROUP BY 1")
+def fs_write_all(spark: SparkSession, d: str) -> DataFrame:
+    """Values of every feature written to a store of their own, but for those that break a rule, and read back."""
     path = f"{mq._folder(spark)}-{uuid.uuid4().hex}"
-    values = table(spark, d, "feature_values").filter("feature_name in ('account_status', 'loyalty_tier')")
+    values = table(spark, d, "feature_values")
     numbered = values.withColumn("source_id", F.col("value_id")).withColumn("value_id", F.xxhash64(*values.columns))
     fs.write_values(numbered, path, {"account_status": {"allowed": ("active", "dormant")}})
     return spark.read.parquet(path).groupBy("feature_name").agg(F.count(F.lit(1)).alias("n"))
