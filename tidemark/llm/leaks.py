@@ -185,23 +185,32 @@ OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.string())])
 CHUNK = 1 << 20
 
 
+def _searcher(grams: Grams):
+    find = grams.scanner()
+
+    def search(column: pa.Array) -> set[tuple[int, str]]:
+        found: set[tuple[int, str]] = set()
+        texts, rows, size = [], [], 0
+        for row, text in enumerate(column.to_pylist()):
+            for reading in variants(text) if text is not None else ():
+                texts.append(reading)
+                rows.append(row)
+                size += len(reading)
+            if size >= CHUNK:
+                found |= {(rows[t], item) for t, item in find(texts)}
+                texts, rows, size = [], [], 0
+        if texts:
+            found |= {(rows[t], item) for t, item in find(texts)}
+        return found
+
+    return search
+
+
 def _scan(grams: Grams):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = grams.scanner()
+        search = _searcher(grams)
         for batch in batches:
-            found: set[tuple[int, str]] = set()
-            texts, rows, size = [], [], 0
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                for reading in variants(text):
-                    texts.append(reading)
-                    rows.append(row)
-                    size += len(reading)
-                if size >= CHUNK:
-                    found |= {(rows[t], item) for t, item in find(texts)}
-                    texts, rows, size = [], [], 0
-            if texts:
-                found |= {(rows[t], item) for t, item in find(texts)}
-            if found:
+            if found := search(batch.column(1)):
                 pairs = sorted(found)
                 ids = batch.column(0).take(pa.array([r for r, _ in pairs], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i in pairs], pa.string())], schema=OUT)
@@ -209,6 +218,31 @@ def _scan(grams: Grams):
     return scan
 
 
+def _sieve(grams: Grams, text: str):
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _searcher(grams)
+        for batch in batches:
+            leaky = {row for row, _ in search(batch.column(batch.schema.get_field_index(text)))}
+            yield batch.filter(pa.array([row not in leaky for row in range(batch.num_rows)], pa.bool_())) if leaky else batch
+
+    return sieve
+
+
+def _blocks(items: DataFrame, item_id: str, item_text: str, grams_per_pass: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of about so many n-grams; one empty block if there are none."""
+    picked = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("item_id is not null and text is not null")
+    block: list[tuple[str, str]] = []
+    size, none = 0, True
+    for row in picked.toLocalIterator():
+        block.append((row["item_id"], row["text"]))
+        size += len(row["text"]) // 4
+        if size >= grams_per_pass:
+            yield block
+            block, size, none = [], 0, False
+    if block or none:
+        yield block
+
+
 def leaks(documents: DataFrame, items: DataFrame, *, n: int = 12, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", grams_per_pass: int = 200_000) -> DataFrame:
     """(doc_id, item_id): the documents that hold at least ``n`` consecutive words of an item, in its order.
 
@@ -218,20 +252,18 @@ def leaks(documents: DataFrame, items: DataFrame, *, n: int = 12, doc_id: str =
     for every ``grams_per_pass`` n-grams of items, so a task never holds more.
     """
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("text is not null")
-    picked = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("item_id is not null and text is not null")
     out = None
-    block: list[tuple[str, str]] = []
-    size = 0
-
-    def one_pass() -> DataFrame:
+    for block in _blocks(items, item_id, item_text, grams_per_pass):
         found = docs.mapInArrow(_scan(Grams(block, n)), "doc_id bigint, item_id string")
-        return found if out is None else out.union(found)
-
-    for row in picked.toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        size += len(row["text"]) // 4
-        if size >= grams_per_pass:
-            out, block, size = one_pass(), [], 0
-    if block or out is None:
-        out = one_pass()
+        out = found if out is None else out.union(found)
     return out
+
+
+def without_leaks(documents: DataFrame, items: DataFrame, *, n: int = 12, text: str = "text", item_id: str = "item_id", item_text: str = "text", grams_per_pass: int = 200_000) -> DataFrame:
+    """The rows of documents, with all their columns, in which ``leaks`` finds nothing; ``text`` is a string column.
+
+    Null texts and null or repeated ids stay as they are. Each block of items is one narrow pass over what the last one left.
+    """
+    for block in _blocks(items, item_id, item_text, grams_per_pass):
+        documents = documents.mapInArrow(_sieve(Grams(block, n), text), documents.schema)
+    return documents

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import distinct as nd
 from tidemark.llm import percentiles as pc
 from tidemark.llm import tokens as tk
-from tidemark.llm.leaks import leaks
+from tidemark.llm.leaks import leaks, without_leaks
 from tidemark.llm.sentences import sentences
 from tidemark.operators.trailing import current_periods
 from tidemark.registry import Registry
@@ -86,3 +86,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least twelve consecutive words of an evaluation item."""
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@REG.query()
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of the documents that are left when those of p7_found are removed."""
+    return without_leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items")).select("doc_id")
