@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidemark.operators.models import fit_bgnbd, fit_gamma_gamma
+from tidemark.operators.models import _newton, fit_bgnbd, fit_gamma_gamma
 
 
 def test_bgnbd_of_many_statistics(spark):
@@ -30,3 +30,15 @@ def test_gamma_gamma_of_many_statistics(spark):
     whole, parts = fit_gamma_gamma(df), fit_gamma_gamma(df, most=500)
     for k in ("p", "q", "gamma"):
         assert getattr(parts, k) == pytest.approx(getattr(whole, k), rel=1e-3), (whole, parts)
+
+
+def test_newton_ends_at_a_bound():
+    calls = []
+
+    def losses(points):
+        calls.append(1)
+        x, y = points.T
+        return 3 + (x - 1) ** 2 + 0.5 * (x - 1) * (y - 9) + (y - 9) ** 2
+
+    got = _newton(losses, np.array([0.0, 0.0]), np.array([7.0, 7.0]))
+    assert got == pytest.approx([1.5, 7.0], abs=1e-6) and len(calls) < 40

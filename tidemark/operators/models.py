@@ -120,10 +120,14 @@ def _newton(losses: Callable[[np.ndarray], np.ndarray], theta: np.ndarray, bound
         slope, curve = (up - down) / (2 * h), np.diag((up + down - 2 * f[0]) / h**2)
         for (i, j), p, m in zip(pairs, both, neither):
             curve[i, j] = curve[j, i] = (p + m + 2 * f[0] - up[i] - up[j] - down[i] - down[j]) / (2 * h**2)
-        values, vectors = np.linalg.eigh(curve)
+        free = ~((np.abs(theta) >= bounds - 1e-9) & (slope * theta < 0))  # the others are held at their bounds
+        if not free.any():
+            break
+        values, vectors = np.linalg.eigh(curve[np.ix_(free, free)])
         tried = []
         for damping in (0, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1, 10):
-            d = -vectors @ ((vectors.T @ slope) / (np.maximum(np.abs(values), 1e-8) + damping))
+            d = np.zeros(n)
+            d[free] = -vectors @ ((vectors.T @ slope[free]) / (np.maximum(np.abs(values), 1e-8) + damping))
             tried.append(np.clip(theta + d * min(1.0, 2.0 / max(np.abs(d).max(), 1e-300)), -bounds, bounds))
         g = losses(np.array(tried))
         k = int(np.argmin(g))
