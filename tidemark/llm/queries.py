@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import distinct as nd
 from tidemark.llm import percentiles as pc
 from tidemark.llm import tokens as tk
-from tidemark.llm.leaks import leaks, without_leaks
+from tidemark.llm.leaks import leak_spans, leaks, without_leaks, without_spans
 from tidemark.llm.sentences import sentences
 from tidemark.operators.trailing import current_periods
 from tidemark.registry import Registry
@@ -92,3 +92,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     """The ids of the documents that are left when those of p7_found are removed."""
     return without_leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items")).select("doc_id")
+
+
+@REG.query()
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where the leaked passages lie in the documents."""
+    return leak_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@REG.query()
+def p7_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without its leaked passages."""
+    return without_spans(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
