@@ -89,3 +89,24 @@ def test_feature_values(spark, tmp_path):
     assert [r["feature_name"] for r in fs.discover(definitions, "MONTHS", ["core"]).collect()] == ["tenure"]
     with pytest.raises(ValueError):
         fs.compute(spark.range(1), {"a": (("b",), F.lit(1)), "b": (("a",), F.lit(1))})
+
+
+def test_stored_tables_and_the_shared_folder(spark):
+    from tidemark.session import drop_stored, shared_folder, stored
+
+    df = stored(spark.range(5).selectExpr("id", "cast(null as string) as s"))
+    assert shared_folder(spark) and df.count() == 5 and df.dtypes == [("id", "bigint"), ("s", "string")]
+    path = df.inputFiles()[0]
+    drop_stored()
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_hot_keys_by_broadcast_and_by_shuffle(spark):
+    from tidemark.operators.skew import hot_keys
+
+    df = spark.createDataFrame([("a",)] * 7 + [("b",)] * 3 + [("c",)] + [(None,)] * 9, "k string")
+    for most in (100, 0):
+        assert sorted(tuple(r) for r in hot_keys(df, ["k"], 2, most=most).collect()) == [("a", 4), ("b", 2)]
+    assert hot_keys(df, ["k"], 50).count() == 0

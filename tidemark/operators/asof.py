@@ -113,7 +113,7 @@ def asof_features(
         """Each row goes to one of its own entity's parts, and to all of the other side's."""
         part = F.pmod(F.xxhash64("id", "t0"), F.coalesce(F.col(own_n), F.lit(1))).cast("int")
         every = F.sequence(F.lit(0), F.coalesce(F.col(other_n), F.lit(1)) - 1)
-        return df.join(F.broadcast(own), "entity", "left").join(F.broadcast(other), "entity", "left").withColumn(own_as, part).withColumn(other_as, F.explode(every))
+        return df.join(own, "entity", "left").join(other, "entity", "left").withColumn(own_as, part).withColumn(other_as, F.explode(every))
 
     columns = ["entity", "shard", "block", "kind", "feature", "t0", "start", "end", "id"]
     left = spread(records, shards, "shards", "shard", blocks, "blocks", "block").withColumn("kind", F.lit(0)).select(columns)

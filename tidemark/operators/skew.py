@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many keys can pass the threshold below, so the list of hot keys is always small enough to broadcast.
+#: A list of more hot keys than this is not broadcast.
 MOST_HOT_KEYS = 100_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int, name: str = "n_salts") -> DataFrame:
-    """(keys, n_salts) of each key with more rows than a task should hold.
+def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int, name: str = "n_salts", most: int = MOST_HOT_KEYS) -> DataFrame:
+    """(keys, n_salts) of each key with more than ``rows_per_task`` rows, so many to a part at most, whatever the table's size.
 
-    The threshold is the larger of ``rows_per_task`` and a 100,000th of all rows: by counting, no more
-    than 100,000 keys can exceed it. Null keys never match a join and are left out.
+    The list carries a broadcast hint if it was counted to hold at most ``most`` keys; else it is joined by shuffle. Null
+    keys never match a join and are left out. One pass over the table; without hot keys none follows.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.count()
-    threshold = max(rows_per_task, total // MOST_HOT_KEYS)
     alive = F.lit(True)
     for k in keys:
         alive = alive & F.col(k).isNotNull()
-    return counts.filter(alive & (F.col("__n") > threshold)).select(*keys, F.ceil(F.col("__n") / threshold).cast("int").alias(name))
+    hot = df.filter(alive).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > rows_per_task)
+    out = hot.select(*keys, F.ceil(F.col("__n") / F.lit(rows_per_task)).cast("int").alias(name))
+    some = out.limit(most + 1).toArrow()  # a bounded list
+    if some.num_rows > most:
+        return out
+    return F.broadcast(df.sparkSession.createDataFrame(some, out.schema) if some.num_rows else df.sparkSession.createDataFrame([], out.schema))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +31,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one in ``spark.checkpoint.dir``, else the one set for checkpoints.
 
-    A folder of this machine is made only where the session names none and none was set, as in tests.
+    Only a session within one process, as in tests, gets a folder of this machine; on a cluster a missing setting is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
+
+
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=eager)
+
+
+_STORED: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a table written to the shared folder: columns, compressed, of which a reader takes those it needs.
+
+    Tables stay until ``drop_stored`` or the end of the driver, since results may still read them.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _STORED:
+        atexit.register(drop_stored)
+    _STORED.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored() -> None:
+    """Deletes the tables of ``stored``; no result may read them afterwards."""
+    while _STORED:
+        spark, path = _STORED.pop()
+        with contextlib.suppress(Exception):  # the session may have ended
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
