@@ -81,3 +81,15 @@ PERIODS = "period_id bigint, granularity string, period_start timestamp_ntz, cus
 def test_current_periods(spark):
     rows = [(1, "day", day(0), "a", D("1.00"), "x", "s", day(1)), (1, "day", day(0), "a", D("2.00"), "x", "s", day(2)), (1, "day", day(0), "a", D("2.00"), "x", "s", day(2)), (None, "day", day(0), "a", D("5.00"), None, None, None), (None, "day", day(0), "a", D("5.00"), None, None, None)]
     assert sorted(r["total_spend"] for r in current_periods(spark.createDataFrame(rows, PERIODS)).collect()) == [D("2.00"), D("5.00")]
+
+
+def test_trailing_of_huge_amounts_and_ties(spark):
+    huge = D("99999999999999.99")
+    rows = [("a", day(k), huge) for k in range(9)] + [("b", day(1), D("-0.01")), ("b", day(4), D("0.03"))]
+    df = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], DAILY)
+    for chosen, windows in ((df, (8, 400)), (df.filter("customer_id = 'b'"), (8, 400))):  # in decimals, and in cents
+        got = {(r["customer_id"], r["day"]): (r["total_8d"], r["total_400d"]) for r in trailing_totals(chosen, windows).collect()}
+        want = brute([r for r in rows if chosen is df or r[0] == "b"], windows)
+        assert got == want
+        means = {(r["customer_id"], r["day"]): r["avg_8d"] for r in trailing_totals(chosen, windows).collect()}
+        assert all(means[k] == pytest.approx(float((t[0] / 8).quantize(D("0.0001"), "ROUND_HALF_UP")), rel=1e-12) for k, t in want.items())

@@ -77,4 +77,5 @@ roll AS (SELECT customer_id, day, sum(amount) OVER (PARTITION BY customer_id ORD
                 sum(amount) OVER (PARTITION BY customer_id ORDER BY day ROWS 29 PRECEDING)::DECIMAL(28,2) AS total_30d FROM grid)
 SELECT *, round(total_7d::DOUBLE / 7, 4) AS avg_7d, round(total_30d::DOUBLE / 30, 4) AS avg_30d FROM roll""")
 def p3_trailing_totals(spark: SparkSession, d: str) -> DataFrame:
-    return trailing_totals(current_periods(table(spark, d, "period_aggregations")).filter("granularity = 'day'"))
+    cells = ("loaded_at", "granularity", "period_start", "customer_id", "total_spend")
+    return trailing_totals(current_periods(table(spark, d, "period_aggregations"), cells).filter("granularity = 'day'"))
