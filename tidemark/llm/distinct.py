@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 RANKS = 44
 
 
@@ -71,13 +73,23 @@ def estimate(sketches: DataFrame, keys: list[str], m: int = 1024, z: float = 3.0
     return summed.withColumn("e", solve("ones")).select(*keys, F.round("e.n_distinct").cast("bigint").alias("n_distinct"), F.col("e.std_error").alias("std_error"), bound(-1).alias("lower"), bound(1).alias("upper"))
 
 
+def _expanded(sketches: DataFrame, fixed: list[str], dims: list[str], rolled: list[tuple[int, list[str]]]) -> DataFrame:
+    """Each row once for each of the (level, kept dims); columns ``fixed`` stay as they are."""
+    combos: list[Column] = [F.struct(F.lit(level).alias("level"), *[(F.col(d) if d in kept else F.lit(None).cast(sketches.schema[d].dataType)).alias(d) for d in dims]) for level, kept in rolled]
+    return sketches.select(*fixed, "bucket", "bits", F.explode(F.array(*combos)).alias("c")).select(*fixed, "c.*", "bucket", "bits")
+
+
 def cube(sketches: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
-    """Sketches of every combination of ``dims``, beside the fixed ``keys``; ``level`` has a bit for each dim that is rolled up."""
-    sets = []
-    for mask in range(2 ** len(dims)):
-        kept = [d for i, d in enumerate(dims) if not mask >> (len(dims) - 1 - i) & 1]
-        sets.append((mask, kept))
-    # one expand: a row of the base sketches goes to each combination, where map-side union folds it at once
-    combos: list[Column] = [F.struct(F.lit(mask).alias("level"), *[(F.col(d) if d in kept else F.lit(None).cast(sketches.schema[d].dataType)).alias(d) for d in dims]) for mask, kept in sets]
-    out = sketches.select(*keys, "bucket", "bits", F.explode(F.array(*combos)).alias("c")).select(*keys, "c.*", "bucket", "bits")
-    return merge(out, [*keys, "level", *dims])
+    """Sketches of every combination of ``dims``, beside the fixed ``keys``; ``level`` has a bit for each dim that is rolled up.
+
+    The sketches are written once. Combinations that keep the first dim, which should have the most values, come from one
+    shuffle by keys, first dim and bucket: their unions need no other, and no group lies in one task. The rest comes from
+    the union over the first dim, which is as small as the other dims make it.
+    """
+    lead, others = dims[0], dims[1:]
+    base, columns = stored(sketches), [*keys, "level", *dims, "bucket", "bits"]
+    rolled = [(mask, [d for i, d in enumerate(others) if not mask >> (len(others) - 1 - i) & 1]) for mask in range(2 ** len(others))]
+    placed = base.repartition(*[F.col(k) for k in [*keys, lead, "bucket"]])
+    with_lead = _expanded(placed, [*keys, lead], others, rolled).groupBy(*keys, lead, "bucket", "level", *others).agg(F.bit_or("bits").alias("bits"))
+    rest = _expanded(merge(base, [*keys, *others]), keys, others, [(mask | 1 << len(others), kept) for mask, kept in rolled]).withColumn(lead, F.lit(None).cast(sketches.schema[lead].dataType))
+    return with_lead.select(columns).union(merge(rest, [*keys, "level", *dims]).select(columns))

@@ -18,6 +18,11 @@ REG = Registry()
 PROBS = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 GROUP = ["granularity", "period_start", "city", "source_system"]
 
+
+def _periods(spark: SparkSession, d: str, *cells: str) -> DataFrame:
+    return current_periods(table(spark, d, "period_aggregations"), ("loaded_at", *cells))
+
+
 _CURRENT = """cur AS (
   SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY period_id ORDER BY loaded_at DESC) AS k FROM period_aggregations) WHERE k = 1)"""
 
@@ -34,14 +39,14 @@ SELECT {keys}, n, q::DOUBLE AS q, v AS value FROM r, p WHERE rn = greatest(ceil(
 @REG.query(_percentile_sql("granularity, period_start, city, source_system", "true", "granularity, period_start, city, source_system"))
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of total_spend per granularity, period, city and source; exact."""
-    counts = pc.value_counts(current_periods(table(spark, d, "period_aggregations")), GROUP, F.col("total_spend"))
+    counts = pc.value_counts(_periods(spark, d, *GROUP, "total_spend"), GROUP, F.col("total_spend"))
     return pc.percentiles(counts, GROUP, PROBS)
 
 
 @REG.query(_percentile_sql("month", "granularity = 'day'", "date_trunc('month', period_start)::TIMESTAMP AS month"))
 def p4_percentiles_merged(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of longer spans from the value counts of single days, cities and sources."""
-    daily = pc.value_counts(current_periods(table(spark, d, "period_aggregations")), GROUP[1:], F.col("total_spend"), "granularity = 'day'")
+    daily = pc.value_counts(_periods(spark, d, *GROUP, "total_spend"), GROUP[1:], F.col("total_spend"), "granularity = 'day'")
     spans = pc.merge_counts(daily.withColumn("month", F.date_trunc("month", "period_start").cast("timestamp_ntz")), ["month"])
     return pc.percentiles(spans, ["month"], PROBS)
 
@@ -49,18 +54,33 @@ def p4_percentiles_merged(spark: SparkSession, d: str) -> DataFrame:
 @REG.query()
 def p5_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Distinct customers per granularity and every combination of period, city and source, from merged bit matrices."""
-    base = nd.sketch(current_periods(table(spark, d, "period_aggregations")), GROUP, "customer_id")
+    base = nd.sketch(_periods(spark, d, *GROUP, "customer_id"), GROUP, "customer_id")
     return nd.estimate(nd.cube(base, ["granularity"], GROUP[1:]), ["granularity", "level", *GROUP[1:]])
 
 
 @REG.query()
 def p5_distinct_spans(spark: SparkSession, d: str) -> DataFrame:
     """Distinct customers of calendar months, merged from the matrices of single days."""
-    days = nd.sketch(current_periods(table(spark, d, "period_aggregations")).filter("granularity = 'day'"), ["period_start"], "customer_id")
+    days = nd.sketch(_periods(spark, d, "granularity", "period_start", "customer_id").filter("granularity = 'day'"), ["period_start"], "customer_id")
     months = nd.merge(days.withColumn("month", F.date_trunc("month", "period_start").cast("timestamp_ntz")), ["month"])
     return nd.estimate(months, ["month"])
 
 
+@REG.query(f"""
+WITH {_CURRENT}
+SELECT granularity, GROUPING(period_start, city, source_system)::INTEGER AS level, period_start, city, source_system, count(DISTINCT customer_id) AS n_exact, true AS within
+FROM cur WHERE customer_id IS NOT NULL GROUP BY granularity, CUBE (period_start, city, source_system)""")
+def p5_distinct_within(spark: SparkSession, d: str) -> DataFrame:
+    """The exact counts of the groups of p5_distinct, and whether they lie within five standard errors of the estimates."""
+    periods = _periods(spark, d, *GROUP, "customer_id").filter("customer_id is not null")
+    dims = ["granularity", "level", *GROUP[1:]]
+    near = nd.estimate(nd.cube(nd.sketch(periods, GROUP, "customer_id"), ["granularity"], GROUP[1:]), dims, z=5.0)
+    exact = periods.cube(*GROUP).agg(F.grouping_id().alias("g"), F.count_distinct("customer_id").alias("n_exact")).filter("g < 8").withColumn("level", F.col("g").cast("int"))
+    same = [exact[c].eqNullSafe(near[c]) for c in dims]
+    inside = (exact["n_exact"] >= F.floor(near["lower"])) & (exact["n_exact"] <= F.ceil(near["upper"]))
+    return exact.join(near, same).select(*[exact[c] for c in dims], "n_exact", inside.alias("within"))
+
+
 @REG.query()
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
