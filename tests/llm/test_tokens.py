@@ -38,3 +38,25 @@ def test_round_trip(spark):
 
 def test_nothing(spark):
     assert encode(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_the_mark_in_a_text_and_hot_ids(spark, tokenizer):
+    rows = [(7, f"a \x1e mark {i}\x1e\x1e") for i in range(9)] + [(None, f"no id {i % 3}") for i in range(9)] + [(7, "plain")] * 3
+    got = encode(spark.createDataFrame(rows, "doc_id bigint, text string"), docs_per_block=2, bytes_per_block=16).collect()
+    want = sorted((str(d), tokenizer.encode(t).ids) for d, t in rows)
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in got) == want
+
+
+def test_long_words_take_little_time(spark, tokenizer):
+    import random
+    import string
+    import time
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices(string.ascii_letters, k=32_000)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(6000)), "ab" * 20_000, "a" * 32_000, "-=" * 5000]
+    for word in words:
+        df = spark.createDataFrame([(1, word)], "doc_id bigint, text string").coalesce(1)
+        began = time.time()
+        ids = encode(df).first()["ids"]
+        assert time.time() - began < 30, len(word)
+        assert ids == tokenizer.encode(word).ids

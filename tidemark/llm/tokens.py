@@ -1,10 +1,12 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer.
 
-Texts are cut into words by the tokenizer's pattern. The distinct words of the corpus are encoded once each: a
+Texts are cut into words by the tokenizer's pattern, once. The distinct words of the corpus are encoded once each: a
 Spark higher-order fold over the word's bytes applies the ranked merges, looked up in a literal map, until none
-applies. Documents lie in blocks by a hash of their id; each block gets the ids of its own distinct words and
+applies. A word is the row of its pieces, each a byte or a merge of bytes, as one character that stands for the piece's
+id, so that a merge is a replacement; the fold keeps the ranks of the pairs that occur and looks up only those that a
+merge has made. Documents lie in blocks by their id; each block gets the ids of its own distinct words and
 rewrites its documents with them, so no dictionary of the whole corpus is ever held in one place. Decoding
-concatenates the pieces of the ids and reads their bytes as UTF-8.
+concatenates the binary pieces of the ids and reads them as UTF-8.
 
 The path of the vocabulary file (the ``tokenizers`` JSON format, byte-level BPE) is a parameter; only the driver
 reads it.
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpointed
+from tidemark.operators.skew import hot_keys
+from tidemark.session import stored
 
 DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 #: Documents of neighbouring ids that lie in one block.
@@ -30,15 +33,14 @@ NEIGHBOURS = 512
 #: Fixed: the pattern that splits text before the merges. (?U) gives \s its Unicode meaning, as the tokenizer has it.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A character that hardly any text holds; those that do are handed over as lists of words.
-MARK = "\uffff"
+MARK = "\x1e"
 BUCKETS = 2_048  # few enough for a processor's cache
-#: Above all ranks: a pair that no merge knows.
-NO_RANK = 2**31 - 1
+#: Text of a block, in bytes.
+BLOCK_BYTES = 64 << 20
 
 #: Bytes that stand for themselves as characters in the vocabulary; the others are numbered on from 256.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _MOVED = [b for b in range(256) if b not in set(_PLAIN)]
-_FROM, _TO = "".join(map(chr, _MOVED)), "".join(chr(256 + i) for i in range(len(_MOVED)))
 
 
 class Vocabulary:
@@ -81,28 +83,58 @@ def marked_words(text: Column) -> Column:
     return F.when(~F.contains(text, F.lit(MARK)), F.regexp_replace(text, F.lit(PATTERN), F.lit("$0" + MARK)))
 
 
+def _piece(i: int) -> str:
+    """The character that stands for an id: none that a regular expression or a surrogate pair would take for something else."""
+    return chr(0x200 + i) if i < 0xD000 else chr(0x10000 + i)
+
+
 def fold_merges(word: Column, vocabulary: Vocabulary) -> Column:
-    """The ids of a word. Pieces are kept in one string, each between blanks (no piece holds one); a step replaces
-    every occurrence of the pair of lowest rank, and the fold stands still when no pair has a rank."""
-    ranks, ids = _literal_map(vocabulary.ranks), _literal_map(vocabulary.ids)
-    letters = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), _FROM, _TO)
-    start = F.regexp_replace(letters, F.lit("(?s)(.)"), F.lit(" $1 "))
-    pieces = lambda s: F.split(F.trim(s), "  ")
-
-    def lowest(p: Column) -> Column:
-        n = F.size(p)
-        key = lambda a, b: F.concat(a, F.lit(" "), b)
-        pair = lambda a, b: F.struct(F.coalesce(_look_up(ranks, key(a, b)), F.lit(NO_RANK)).alias("rank"), key(a, b).alias("pair"))
-        return F.when(n > 1, F.array_min(F.zip_with(F.slice(p, 1, n - 1), F.slice(p, 2, n - 1), pair)))
+    """The ids of a word.
+
+    The state is the row of pieces and the ranked pairs that may occur in it. A step takes the pair of lowest rank out,
+    replaces each of its occurrences from left to right, and adds the ranked pairs of the new piece with its neighbours;
+    the fold stands still when no pair is left. A step costs time by the word's length, without look-ups for what it
+    leaves as it is, and there are at most as many steps as pairs ever made.
+    """
+    ids = vocabulary.ids
+    pairs = [p.split(" ") for p in sorted(vocabulary.ranks, key=vocabulary.ranks.__getitem__)]
+    ranks = _literal_map({_piece(ids[a]) + _piece(ids[b]): vocabulary.ranks[f"{a} {b}"] for a, b in pairs})
+    made = F.from_json(F.lit(json.dumps([_piece(ids[a + b]) for a, b in pairs], ensure_ascii=False)), "array<string>")
+    letter = dict(zip(_MOVED, (chr(256 + i) for i in range(len(_MOVED))))) | {b: chr(b) for b in _PLAIN}
+    row = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "".join(map(chr, range(256))), "".join(_piece(ids[letter[b]]) for b in range(256)))
+
+    def ranked(found: Column) -> Column:
+        rank = lambda p: F.struct(_look_up(ranks, p).alias("rank"), p.alias("pair"))
+        return F.filter(F.transform(F.array_distinct(found), rank), lambda x: x["rank"].isNotNull())
+
+    def beside(parts: Column, c: Column) -> Column:
+        """The pairs of a piece with its neighbours, of a row that was split at the piece."""
+        n = F.size(parts) - 1
+        before = lambda x, i: F.when(x != "", F.concat(F.substring(x, -1, 1), c)).when(i > 0, F.concat(c, c))
+        after = lambda x, i: F.when(x != "", F.concat(c, F.substring(x, 1, 1))).when(i < n - 1, F.concat(c, c))
+        return F.concat(F.transform(F.slice(parts, 1, n), before), F.transform(F.slice(parts, 2, n), after))
 
     def merged(state: Column, best: Column) -> Column:
-        old = F.concat(F.lit(" "), F.replace(best["pair"], F.lit(" "), F.lit("  ")), F.lit(" "))
-        new = F.concat(F.lit(" "), F.replace(best["pair"], F.lit(" "), F.lit("")), F.lit(" "))
-        return F.when(best.isNull() | (best["rank"] == NO_RANK), F.struct(state["s"].alias("s"), F.lit(True).alias("over"))).otherwise(F.struct(F.replace(state["s"], old, new).alias("s"), F.lit(False).alias("over")))
+        def with_piece(c: Column) -> Column:
+            def then(new: Column) -> Column:
+                rest = F.filter(state["pairs"], lambda x: x["rank"] != best["rank"])
+                more = _let(F.split(new, c), lambda parts: ranked(beside(parts, c)))
+                return F.when(new == state["row"], F.struct(new.alias("row"), rest.alias("pairs"))).otherwise(F.struct(new.alias("row"), F.concat(rest, more).alias("pairs")))
+
+            return _let(F.replace(state["row"], best["pair"], c), then)
+
+        return _let(F.element_at(made, best["rank"] + 1), with_piece)
+
+    def start(r: Column) -> Column:
+        two = F.lit("(?s)..")
+        found = F.concat(F.regexp_extract_all(r, two, F.lit(0)), F.regexp_extract_all(F.substring(r, 2, 2**31 - 1), two, F.lit(0)))
+        return F.struct(r.alias("row"), ranked(found).alias("pairs"))
 
-    step = lambda state, _: F.when(state["over"], state).otherwise(_let(_let(pieces(state["s"]), lowest), lambda best: merged(state, best)))
-    over = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(letters), F.lit(1))), F.struct(start.alias("s"), F.lit(False).alias("over")), step)
-    return F.transform(pieces(over["s"]), lambda p: _look_up(ids, p))
+    step = lambda state, _: F.when(F.size(state["pairs"]) == 0, state).otherwise(_let(F.array_min(state["pairs"]), lambda best: merged(state, best)))
+    turns = F.sequence(F.lit(1), F.greatest(F.octet_length(word) * 4, F.lit(1)))  # a merge takes a piece away and makes at most two pairs
+    over = F.aggregate(turns, _let(row, start), step)
+    code = lambda c: F.ascii(c) - F.when(F.ascii(c) < 0x200 + 0xD000, 0x200).otherwise(0x10000)
+    return F.when(word == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(over["row"], ""), code))
 
 
 class Lexicon:
@@ -159,38 +191,46 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([docs.filter(rest), lexicon.rewrite(listed.filter(rest), 0)], schema=OUT)
 
 
-def encode(documents: DataFrame, *, path: str = DEFAULT_PATH, doc_id: str = "doc_id", text: str = "text", docs_per_block: int = 20_000) -> DataFrame:
+def encode(documents: DataFrame, *, path: str = DEFAULT_PATH, doc_id: str = "doc_id", text: str = "text", docs_per_block: int = 20_000, bytes_per_block: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, ids): the token ids of every document, without special tokens.
 
     Empty and null texts give an empty list; strings that look like special tokens are ordinary text; a repeated
     row gives a repeated result; a null doc_id is kept. Extra columns are ignored; an empty table gives no rows.
 
-    Shuffled are the distinct words of each block, and each text once to its block. A word costs the fold time by
-    its length times its number of distinct merges, once in the corpus.
+    A block holds at most about ``bytes_per_block`` of text and ``docs_per_block`` documents. Shuffled are the distinct
+    words of each block, and each text once to its block. A word costs the fold time by its length times its number of
+    distinct merges, once in the corpus.
     """
     spark = documents.sparkSession
-    blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // docs_per_block))
-    block = F.pmod(F.xxhash64(F.floor(F.col("doc_id") / F.lit(NEIGHBOURS))), F.lit(blocks)).cast("int")
-    docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("block", block)
-    # neighbours by id share blocks, so that most words repeat before the shuffle; other ids are spread by their hash alone
-    seen = checkpointed(docs.select("block", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).distinct())
-    lexicon = checkpointed(seen.select("word").distinct().select("word", fold_merges(F.col("word"), Vocabulary(path)).alias("ids")))
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    plain = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), t.alias("text"))
+    sizes = Observation()
+    cut = plain.observe(sizes, F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes"))
+    # neighbours by id share blocks, so that most words repeat before the shuffle; without id, the text says where
+    near = F.coalesce(F.floor(F.col("doc_id") / F.lit(NEIGHBOURS)), F.xxhash64("text"))
+    kept = stored(cut.select("doc_id", near.alias("near"), F.xxhash64("text").alias("hash"), marked_words(F.col("text")).alias("marked"), F.when(F.contains("text", F.lit(MARK)), words_of(F.col("text"))).alias("words")))
+    found = sizes.get
+    blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(found["docs"] or 0) // docs_per_block), -(-(found["bytes"] or 0) // bytes_per_block))
+    hot = hot_keys(kept, ["near"], max(docs_per_block, NEIGHBOURS))  # an id that is repeated without end
+    salt = F.when(F.col("n_salts").isNotNull(), F.pmod(F.col("hash"), F.col("n_salts"))).otherwise(0)
+    docs = kept.join(hot, "near", "left").withColumn("block", F.pmod(F.xxhash64("near", salt), F.lit(blocks)).cast("int"))
+    each = F.explode(F.array_distinct(F.coalesce("words", F.split("marked", MARK)))).alias("word")
+    seen = stored(docs.select("block", each).filter("word != ''").distinct())
+    lexicon = stored(seen.select("word").distinct().select("word", fold_merges(F.col("word"), Vocabulary(path)).alias("ids")))
     null = F.lit(None)
-    known = seen.join(lexicon, "word").select("block", F.lit(0).alias("kind"), null.cast("bigint").alias("doc_id"), "word", "ids", null.cast("string").alias("text"))
-    every = known.union(docs.select("block", F.lit(1).alias("kind"), "doc_id", null.cast("string").alias("word"), null.cast("array<int>").alias("ids"), "text"))
+    known = seen.join(lexicon, "word").select("block", F.lit(0).alias("kind"), null.cast("bigint").alias("doc_id"), "word", "ids", null.cast("string").alias("marked"), null.cast("array<string>").alias("words"))
+    every = known.union(docs.select("block", F.lit(1).alias("kind"), "doc_id", null.cast("string").alias("word"), null.cast("array<int>").alias("ids"), "marked", "words"))
     placed = every.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "kind")
-    text_ = F.when(F.col("kind") == 1, F.coalesce("text", F.lit("")))
-    listed = F.when(F.contains(text_, F.lit(MARK)), words_of(text_))
-    cut = placed.select("block", "kind", "doc_id", "word", "ids", marked_words(text_).alias("marked"), listed.alias("words"))
-    return cut.mapInArrow(_rewrite, "doc_id bigint, ids array<int>")
+    return placed.mapInArrow(_rewrite, "doc_id bigint, ids array<int>")
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
-    """The text of a list of ids: its binary pieces, concatenated. Ids outside the vocabulary give null."""
+    """The text of a list of ids: its binary pieces, concatenated (as hexadecimal digits). Ids outside the vocabulary give null."""
+    byte = {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(_MOVED)}
     by_id = [""] * (max(vocabulary.ids.values()) + 1)
     for piece, i in vocabulary.ids.items():
-        by_id[i] = piece
-    pieces = F.from_json(F.lit(json.dumps(by_id, ensure_ascii=False)), "array<string>")
-    letters = F.when(F.size(ids) == 0, F.lit("")).otherwise(F.concat_ws("", F.transform(ids, lambda i: F.element_at(pieces, i + 1))))
-    plain = F.replace(F.translate(letters, _TO[1:], _FROM[1:]), F.lit(_TO[0]), F.lit(_FROM[0]))  # translate() would drop a NUL
-    return F.decode(F.encode(plain, "ISO-8859-1"), "UTF-8")
+        by_id[i] = bytes(byte[c] for c in piece).hex() if all(c in byte for c in piece) else piece.encode().hex()
+    pieces = F.from_json(F.lit(json.dumps(by_id)), "array<string>")
+    known = F.forall(ids, lambda i: (i >= 0) & (i < len(by_id)))
+    digits = F.array_join(F.transform(ids, lambda i: F.try_element_at(pieces, i + 1)), "")
+    return F.when(F.size(ids) == 0, F.lit("")).when(known, F.decode(F.unhex(digits), "UTF-8"))
