@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rows import attach
 from tidemark.functions.tails import chi2_tail, kolmogorov_tail
-from tidemark.operators.ordered import sums_before
+from tidemark.operators.ordered import quantile_row, quantiles, sums_before
 
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,8 +30,7 @@ def _binned(values: DataFrame, e: Column, name: str) -> DataFrame:
 def psi(baseline: DataFrame, current: DataFrame, bins: int = 10, epsilon: float = 1e-6) -> DataFrame:
     """(metric, psi) of two long tables. Bins are the baseline's distinct percentiles, stretched to hold all values; empty
     bins count epsilon; a constant baseline gives 0. Metrics with fewer than ``bins`` values on a side give null."""
-    probs = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    base = baseline.groupBy("metric").agg(F.percentile("x", probs).alias("p"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n_base"))
+    base = quantiles(baseline.withColumnRenamed("metric", "metric_"), {"x": F.col("x")}, [k / bins for k in range(bins + 1)], ["metric_"]).select(F.col("metric_").alias("metric"), F.col("q").alias("p"), F.col("q")[0].alias("lo"), F.element_at("q", -1).alias("hi"), F.col("n").alias("n_base"))
     cur = current.groupBy("metric").agg(F.min("x").alias("clo"), F.max("x").alias("chi"), F.count(F.lit(1)).alias("n_cur"))
     both = base.join(cur, "metric")  # one row per metric
     distinct = F.array_distinct("p")
@@ -66,6 +65,7 @@ def ks_test(a: DataFrame, b: DataFrame, x: str, alpha: float = 0.05) -> dict:
     return {"statistic": row["d"], "p_value": p, "drift": p < alpha}
 
 
+#: What a score means.
 def interpret_psi(score: Column) -> Column:
     return F.when(score < 0.1, "No significant drift").when(score < 0.25, "Small drift, investigation recommended").otherwise("Significant drift, retraining recommended")
 
@@ -104,7 +104,7 @@ def model_psi(reference: DataFrame, current: DataFrame, x: str) -> DataFrame:
     if facts["lo"] == facts["hi"] and seen["lo"] == seen["hi"]:
         return answer(0 if facts["lo"] == seen["lo"] else 1)
     bins = min(10, max(3, int(min(facts["n"], seen["n"]) ** 0.5)))
-    at = ref.agg(F.array_distinct(F.percentile("x", F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).alias("e")).first()["e"]
+    at = sorted(set(quantile_row(ref, {"x": F.col("x")}, [k / bins for k in range(bins + 1)]).first()["q_x"]))
     if len(at) < 3:
         lo, hi = (facts["lo"], facts["hi"]) if facts["lo"] < facts["hi"] else (facts["lo"] - 0.5, facts["hi"] + 0.5)
         at = [lo + (hi - lo) * k / bins for k in range(bins + 1)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import md5_mod
 from tidemark.functions.tails import chi2_tail, normal_cdf, normal_quantile, t_quantile, t_two_sided
-from tidemark.operators.ordered import sums_before
+from tidemark.operators.ordered import quantiles, sums_before
 
 # ---------------------------------------------------------------- assignment
 
@@ -121,7 +121,9 @@ def variant_stats(events: DataFrame, variant: str, value: Column, user: str | No
     """(variant, n, mean, std, median) of a value; a null value counts as 1, an event of the metric without amount."""
     v = F.coalesce(value.cast("double"), F.lit(1.0))
     users = [F.count_distinct(user).alias("users")] if user else []
-    return events.groupBy(F.col(variant).alias("variant")).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.median(v).alias("median"), *users)
+    out = events.groupBy(F.col(variant).alias("variant")).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), *users)
+    middle = quantiles(events.select(F.col(variant).alias("variant_"), v.alias("v")), {"v": F.col("v")}, [0.5], ["variant_"]).select("variant_", F.col("q")[0].alias("median"))
+    return out.join(middle, F.col("variant").eqNullSafe(F.col("variant_"))).select("variant", "n", "mean", "std", "median", *(["users"] if user else []))
 
 
 @dataclass(frozen=True)

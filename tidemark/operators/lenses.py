@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rows import attach
-from tidemark.operators.ordered import sums_before
+from tidemark.operators.ordered import quantile_row, quantiles, sums_before
 
 MONEY = "decimal(18,2)"
 
@@ -42,10 +42,11 @@ def lens1(rows: DataFrame) -> DataFrame:
     one = F.count_if(F.col("frequency") == 1)
     base = rows.agg(
         F.count(F.lit(1)).alias("total_customers"), one.alias("one_time_buyers"), pct(one, F.count(F.lit(1))).alias("one_time_buyer_pct"), F.coalesce(F.sum("frequency"), F.lit(0)).alias("total_orders"),
-        money(F.sum("total_spend")).alias("total_revenue"), money(F.sum("frequency").cast("decimal(28,10)") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("avg_orders_per_customer"), money(F.median("total_spend").cast("decimal(28,4)")).alias("median_customer_value"),
+        money(F.sum("total_spend")).alias("total_revenue"), money(F.sum("frequency").cast("decimal(28,10)") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("avg_orders_per_customer"),
     )
+    middle = quantile_row(rows, {"m": F.col("total_spend")}, [0.5]).select(money(F.col("q_m")[0].cast("decimal(28,4)")).alias("median_customer_value"))
     shares = pareto(rows).agg(*[F.coalesce(F.max(F.when(F.col("percent") == p, F.col("revenue_share"))), F.lit(0)).cast(MONEY).alias(f"top_{p}pct_revenue_share") for p in (10, 20)])
-    return attach(base, shares)
+    return attach(base, middle, shares)
 
 
 # ---------------------------------------------------------------- lens 2
@@ -141,7 +142,8 @@ def time_to_second(periods: DataFrame, assignments: DataFrame) -> DataFrame:
     rows = periods.join(assignments, "customer_id").select("cohort_id", "customer_id", "period_start", F.row_number().over(w).alias("k"), F.lead("period_start").over(w).alias("next"))
     gap = rows.filter("k = 1 and next is not null").select("cohort_id", F.date_diff("next", "period_start").alias("days"))
     size = assignments.groupBy("cohort_id").agg(F.count_distinct("customer_id").alias("cohort_size"))
-    per = gap.groupBy("cohort_id").agg(F.count(F.lit(1)).alias("repeat_customers"), F.median("days").alias("median_days"), F.avg("days").alias("mean_days"))
+    per = gap.groupBy("cohort_id").agg(F.count(F.lit(1)).alias("repeat_customers"), F.avg("days").alias("mean_days"))
+    per = per.join(quantiles(gap, {"days": F.col("days")}, [0.5], ["cohort_id"]).select("cohort_id", F.col("q")[0].alias("median_days")), "cohort_id")
     return size.join(per, "cohort_id", "left").select("cohort_id", "cohort_size", F.coalesce("repeat_customers", F.lit(0)).alias("repeat_customers"), pct(F.coalesce("repeat_customers", F.lit(0)), F.col("cohort_size")).alias("repeat_rate"), F.round("median_days", 2).alias("median_days"), F.round("mean_days", 2).alias("mean_days"))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import elapsed_us
+from tidemark.functions.rows import attach
+from tidemark.operators.ordered import quantile_row, quantiles
 from tidemark.session import checkpointed
 
 DAY_US = 86_400_000_000
@@ -263,6 +265,7 @@ def mcmc_diagnostics(draws: DataFrame) -> DataFrame:
 
 def posterior_checks(draws: DataFrame, observed: DataFrame) -> DataFrame:
     """One row: share of observations inside their central 95 % of predictive draws, and both medians."""
-    q = draws.groupBy("obs_id").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
-    j = observed.join(q, "obs_id")
-    return j.agg(F.avg(F.col("observed").between(F.col("q")[0], F.col("q")[2]).cast("double")).alias("coverage_95"), F.median("observed").alias("observed_median"), F.median(F.col("q")[1]).alias("predicted_median"))
+    q = quantiles(draws, {"value": F.col("value")}, [0.025, 0.5, 0.975], ["obs_id"]).select("obs_id", "q")
+    j = observed.join(q, "obs_id").select("observed", "q")
+    medians = quantile_row(j, {"o": F.col("observed"), "p": F.col("q")[1]}, [0.5]).select(F.col("q_o")[0].alias("observed_median"), F.col("q_p")[0].alias("predicted_median"))
+    return attach(j.agg(F.avg(F.col("observed").between(F.col("q")[0], F.col("q")[2]).cast("double")).alias("coverage_95")), medians)

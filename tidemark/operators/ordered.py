@@ -1,22 +1,32 @@
-"""Running sums over a whole table in order, without one task for all rows."""
+"""Running sums and quantiles over a whole table in order, without one task for all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rows import attach
 
+LEAST_BUCKETS = 64
+
+
+def buckets_of(df: DataFrame) -> int:
+    """Ranges that a table is parted into: as many as the session makes parts of a shuffle, which is set by the data's size."""
+    return max(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-def sums_before(df: DataFrame, order: str, sums: list[str], *, descending: bool = False, buckets: int = 64) -> DataFrame:
+
+def sums_before(df: DataFrame, order: str, sums: list[str], *, descending: bool = False, buckets: int | None = None) -> DataFrame:
     """Adds ``<c>_before``, the sum of each column over the rows strictly before a row. ``order`` is numeric and distinct,
     as in a table of value counts.
 
     Rows are parted by approximate quantiles into at most ``buckets`` ranges; the ranges' totals are a handful of rows, and
     running sums are taken within each range.
     """
+    buckets = buckets or buckets_of(df)
     key = F.col(order).cast("double")
-    edges = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 1000).alias("__edges"))
+    edges = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), max(1000, 4 * buckets)).alias("__edges"))
     placed = attach(df, edges).withColumn("__b", F.size(F.filter("__edges", lambda e: e < key))).drop("__edges")
     way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     across = Window.orderBy(way("__b")).rowsBetween(Window.unboundedPreceding, -1)
@@ -25,3 +35,40 @@ def sums_before(df: DataFrame, order: str, sums: list[str], *, descending: bool
     within = Window.partitionBy("__b").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.join(F.broadcast(offsets), "__b")
     return out.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"__o_{c}") for c in sums}).drop("__b", *[f"__o_{c}" for c in sums])
+
+
+def quantiles(df: DataFrame, values: dict[str, Column], fractions: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by, metric, n, n_distinct, q): for each group and named value the interpolated quantiles, exact, as an array of doubles.
+
+    The quantile f of n values lies at place f (n - 1), between its neighbours by distance. Nulls are left out; a group
+    without values has no row. Values are counted, and the counts parted by group and range of values, so that no task
+    holds a group's values; only the totals of the ranges are brought together.
+    """
+    by = by or []
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), c.cast("double").alias("v")) for m, c in values.items()])).alias("p")
+    group = F.struct(*[F.col(b) for b in by], F.col("p.metric").alias("metric"))  # structs compare with their nulls
+    counts = df.select(*by, pairs).select(group.alias("g"), F.col("p.v").alias("v")).filter("v is not null").groupBy("g", "v").agg(F.count(F.lit(1)).alias("k"))
+    buckets = buckets_of(df)
+    cuts = F.percentile_approx("v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), max(1000, 4 * buckets))
+    edges = counts.groupBy(F.col("g.metric").alias("metric")).agg(cuts.alias("e"), F.sum("k").alias("all"))  # a row per metric
+    placed = counts.withColumn("metric", F.col("g.metric")).join(F.broadcast(edges), "metric").select("g", "v", "k", F.size(F.filter("e", lambda e: e < F.col("v"))).alias("b"))
+    totals = placed.groupBy("g", "b").agg(F.sum("k").alias("t"), F.count(F.lit(1)).alias("d"))
+    whole = Window.partitionBy("g")
+    offsets = totals.select("g", "b", F.coalesce(F.sum("t").over(whole.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"), F.sum("t").over(whole).alias("n"), F.sum("d").over(whole).alias("n_distinct"))
+    within = Window.partitionBy("g", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    run = placed.join(offsets if by else F.broadcast(offsets), ["g", "b"]).withColumn("before", F.coalesce(F.sum("k").over(within), F.lit(0)) + F.col("o"))
+    place = [F.lit(float(f)) * (F.col("n") - 1) for f in fractions]
+    after = F.col("before") + F.col("k")
+    touched = reduce(Column.__or__, [(F.col("before") <= F.ceil(p)) & (after > F.floor(p)) for p in place])
+    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < after), F.col("v")))
+    found = run.filter(touched).groupBy("g", "n", "n_distinct").agg(*[at(F.floor(p)).alias(f"lo{i}") for i, p in enumerate(place)], *[at(F.ceil(p)).alias(f"hi{i}") for i, p in enumerate(place)])
+    between = [F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise((F.ceil(p) - p) * F.col(f"lo{i}") + (p - F.floor(p)) * F.col(f"hi{i}")) for i, p in enumerate(place)]
+    return found.select(*[F.col(f"g.{b}").alias(b) for b in by], F.col("g.metric").alias("metric"), "n", "n_distinct", F.array(*between).alias("q"))
+
+
+def quantile_row(df: DataFrame, values: dict[str, Column], fractions: list[float]) -> DataFrame:
+    """One row with the ``quantiles`` of each named value: q_<name>, n_<name> and d_<name>, the number of distinct values; nulls
+    and zeros without values."""
+    rows = quantiles(df, values, fractions)
+    of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    return rows.agg(*[x for m in values for x in (of(m, "q").alias(f"q_{m}"), F.coalesce(of(m, "n"), F.lit(0)).alias(f"n_{m}"), F.coalesce(of(m, "n_distinct"), F.lit(0)).alias(f"d_{m}"))])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime as dt
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.exprs import floor_days
 from tidemark.functions.rows import attach
+from tidemark.operators.ordered import quantile_row, quantiles
 
 # ---------------------------------------------------------------- expectations
 
@@ -106,8 +109,9 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     g1, g2 = F.skewness("x"), F.kurtosis("x")
     skew = F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = rows.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.var_samp("x").alias("variance"), skew.alias("skewness"), kurt.alias("kurtosis"), q.alias("q"), F.count_if(x == 0).alias("zeros_count"), F.count_if(x < 0).alias("negative_count"))
+    stats = rows.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.var_samp("x").alias("variance"), skew.alias("skewness"), kurt.alias("kurtosis"), F.count_if(x == 0).alias("zeros_count"), F.count_if(x < 0).alias("negative_count"))
+    found = quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75]).select(F.col("metric").alias("column"), "q")
+    stats = stats.join(found, "column", "left")  # a row per column
     limits = stats.select("column", (F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0])).alias("lo"), (F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])).alias("hi"))
     out = rows.join(F.broadcast(limits), "column").groupBy("column").agg(F.count_if((x < F.col("lo")) | (x > F.col("hi"))).alias("outliers_count"))
     qs = [F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")]
@@ -150,7 +154,7 @@ def compare_profiles(before: DataFrame, after: DataFrame) -> DataFrame:
 def model_quality(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: mean share of missing values and of outliers (quartile fences), and the mean of their complements."""
     numeric = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
-    fences = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in numeric]) if numeric else None
+    fences = quantile_row(df, {c: F.col(c) for c in numeric}, [0.25, 0.75]).select(*[f"q_{c}" for c in numeric]) if numeric else None
     rows = df if fences is None else attach(df, fences)
 
     def outlier(c: str) -> Column:
@@ -199,16 +203,16 @@ def temporal_split(df: DataFrame, ts: str, train_end: Column, observation_end: C
 def expanding_folds(df: DataFrame, ts: str, months: int = 12, step: int = 3) -> list[tuple]:
     """(train_end, test_end) of folds: the first train takes ``months``, each later one ``step`` more, while the test fits."""
     lo, hi = df.agg(F.min(ts), F.max(ts)).first()
-    out = []
-    if lo is None:
-        return out
-    k = 0
-    while True:
-        row = df.sparkSession.range(1).select(F.add_months(F.lit(lo).cast("date"), months + step * k), F.add_months(F.lit(lo).cast("date"), months + step * (k + 1))).first()
-        if row[1] > hi.date():
-            return out
-        out.append((row[0], row[1]))
-        k += 1
+    out: list[tuple] = []
+    while lo is not None and (test_end := _months_on(lo.date(), months + step * (len(out) + 1))) <= hi.date():
+        out.append((_months_on(lo.date(), months + step * len(out)), test_end))
+    return out
+
+
+def _months_on(day: dt.date, n: int) -> dt.date:
+    """So many months later, at most at the month's end."""
+    year, month = divmod(day.year * 12 + day.month - 1 + n, 12)
+    return dt.date(year, month + 1, min(day.day, calendar.monthrange(year, month + 1)[1]))
 
 
 def cross_validate(df: DataFrame, ts: str, pipeline, months: int = 12, step: int = 3) -> list:

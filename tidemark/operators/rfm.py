@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import floor_days, quantile_bin
 from tidemark.functions.rows import attach
+from tidemark.operators.ordered import quantile_row
 
 MONEY = "decimal(18,2)"
 
@@ -27,24 +28,23 @@ def future_activity(rfm_rows: DataFrame) -> DataFrame:
 def rfm_scores(rows: DataFrame, bins: int = 5) -> DataFrame:
     """Scores 1 to ``bins`` by value quantiles with duplicate edges dropped; recency reversed; a single distinct value scores 3.
 
-    The edges come from one aggregate (exact percentiles over value counts) and go back as a single row.
+    The quantiles come from counted values in ranges and go back as a single row.
     """
     parts = {"r": "recency_days", "f": "frequency", "m": "monetary"}
-    stats = [F.count_distinct(c).alias(f"n_{s}") for s, c in parts.items()]
-    quantiles = [F.percentile(F.col(c).cast("double"), F.array(*[F.lit(k / q) for k in range(q + 1)])).alias(f"{s}_{q}") for s, c in parts.items() for q in range(2, bins + 1)]
-    edges = attach(rows.agg(*quantiles), rows.agg(*stats))
+    fractions = sorted({k / q for q in range(2, bins + 1) for k in range(q + 1)})
+    edges = quantile_row(rows, {s: F.col(c) for s, c in parts.items()}, fractions)
 
-    def binned(s: str, c: str) -> Column:
-        n = F.least(F.col(f"n_{s}"), F.lit(bins))
-        chosen = F.col(f"{s}_{bins}")
+    def binned(s: str, value: Column) -> Column:
+        n = F.least(F.col(f"d_{s}"), F.lit(bins))
+        edges_of = lambda q: F.array(*[F.col(f"q_{s}")[fractions.index(k / q)] for k in range(q + 1)])
+        chosen = edges_of(bins)
         for q in range(bins - 1, 1, -1):
-            chosen = F.when(n == q, F.col(f"{s}_{q}")).otherwise(chosen)
-        return F.when(n > 1, quantile_bin(F.col(c).cast("double"), F.array_distinct(chosen)))
+            chosen = F.when(n == q, edges_of(q)).otherwise(chosen)
+        return F.when(n > 1, quantile_bin(value, F.array_distinct(chosen)))
 
-    placed = attach(rows, edges).withColumns({f"b_{s}": binned(s, c) for s, c in parts.items()})
-    top = placed.agg(F.max("b_r").alias("top_r"))
-    out = attach(placed, top)
-    r = F.coalesce(F.col("top_r") - F.col("b_r") + 1, F.lit(3)).cast("int")
+    out = attach(rows, edges).withColumns({f"b_{s}": binned(s, F.col(c).cast("double")) for s, c in parts.items()})
+    top = binned("r", F.element_at("q_r", -1))  # the bin of the largest
+    r = F.coalesce(top - F.col("b_r") + 1, F.lit(3)).cast("int")
     f, m = (F.coalesce(F.col(f"b_{s}") + 1, F.lit(3)).cast("int") for s in "fm")
     scored = out.withColumns({"r_score": r, "f_score": f, "m_score": m}).withColumn("rfm_score", F.concat("r_score", "f_score", "m_score"))
     return scored.select(*rows.columns, "r_score", "f_score", "m_score", "rfm_score")

@@ -10,7 +10,7 @@ from tidemark.operators import lenses as le
 from tidemark.operators import mart as ma
 from tidemark.operators import rfm as rf
 from tidemark.registry import Registry
-from tidemark.session import table
+from tidemark.session import stored_once, table
 
 REG = Registry()
 
@@ -54,13 +54,13 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:
-    return ma.aggregate_orders(lines(spark, d))
+    """The mart's orders, which are made once from the lines as they are."""
+    return stored_once(spark, "orders", f"{d}/txn_lines.parquet", lambda: ma.aggregate_orders(lines(spark, d)))
 
 
 def periods(spark: SparkSession, d: str) -> DataFrame:
-    return ma.aggregate_periods(orders(spark, d))
-
-
+    """The mart's months by customer, from its orders."""
+    return stored_once(spark, "months", f"{d}/txn_lines.parquet", lambda: ma.aggregate_periods(orders(spark, d)))
 
 
 def at() -> Column:
@@ -99,12 +99,12 @@ def flt_line_validate(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.query(f"WITH {ORDERS} SELECT * FROM orders_")
 def agg_orders(spark: SparkSession, d: str) -> DataFrame:
-    return orders(spark, d)
+    return ma.aggregate_orders(lines(spark, d))
 
 
 @REG.query(f"WITH {ORDERS}, {_periods('pm', 'month')}, {_periods('pq', 'quarter')}, {_periods('py', 'year')} SELECT * FROM pm UNION ALL SELECT * FROM pq UNION ALL SELECT * FROM py")
 def agg_periods(spark: SparkSession, d: str) -> DataFrame:
-    return ma.aggregate_periods(orders(spark, d), ma.GRANULARITIES)
+    return ma.aggregate_periods(ma.aggregate_orders(lines(spark, d)), ma.GRANULARITIES)
 
 
 @REG.query("SELECT order_id, date_trunc('month', order_ts)::TIMESTAMP AS month_start, date_trunc('quarter', order_ts)::TIMESTAMP AS quarter_start, date_trunc('year', order_ts)::TIMESTAMP AS year_start, (date_trunc('month', order_ts) + INTERVAL 1 MONTH)::TIMESTAMP AS month_end, (date_trunc('quarter', order_ts) + INTERVAL 3 MONTHS)::TIMESTAMP AS quarter_end, (date_trunc('year', order_ts) + INTERVAL 1 YEAR)::TIMESTAMP AS year_end FROM order_aggregations")

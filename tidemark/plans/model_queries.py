@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from tidemark.operators import lenses as le
 from tidemark.operators import models as mo
 from tidemark.plans import audit_queries as au
 from tidemark.registry import Registry
-from tidemark.session import checkpointed, table
+from tidemark.session import checkpointed, scratch, table
 from tidemark.sources import files
 from tidemark.sources import synthetic as sy
 from tidemark.streaming import events as ev
@@ -337,16 +336,10 @@ def win_decay(spark: SparkSession, d: str) -> DataFrame:
     return sy.decay(r).withColumn("ratio", F.round("ratio", 6))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder for files that all executors share: that of spark.checkpoint.dir, or a local one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemark-files")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 for _suffix in ("csv", "json", "parquet"):
 
     def _round_trip(spark: SparkSession, d: str, suffix: str = _suffix) -> DataFrame:
-        path = f"{_folder(spark)}.{suffix}"
+        path = f"{scratch(spark)}.{suffix}"
         nations = table(spark, d, "nation")
         files.write_by_suffix(nations, path)
         return files.read_by_suffix(spark, path, nations.schema).select("n_nationkey", "n_name", "n_regionkey")
@@ -357,7 +350,7 @@ for _suffix in ("csv", "json", "parquet"):
 @REG.query("SELECT count(*) AS transactions, count(DISTINCT customer_id) AS customers, min(event_ts) AS first_ts, max(event_ts) AS last_ts FROM txn_lines")
 def src_json_txn(spark: SparkSession, d: str) -> DataFrame:
     """The lines written as JSON with ISO times and read back as transactions."""
-    path = _folder(spark)
+    path = scratch(spark)
     lines = table(spark, d, "txn_lines").select("order_id", "customer_id", F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("event_ts"), "product_id", "quantity", "unit_price", "unit_cost")
     lines.write.json(path)
     raw = spark.read.schema(files.TRANSACTIONS).json(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from tidemark.plans import audit_queries as au
 from tidemark.plans import model_queries as mq
 from tidemark.plans import platform_queries as pq
 from tidemark.registry import Registry
-from tidemark.session import table
+from tidemark.session import scratch, table
 from tidemark.sources import files, sinks
 from tidemark.sources.warehouse import Catalog, guard_identifier
 
@@ -168,7 +166,7 @@ def sql_guard(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.query(mq.REG.oracles["ml_clv"])
 def snk_clv_csv(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{mq._folder(spark)}-{uuid.uuid4().hex}.csv"
+    path = f"{scratch(spark)}.csv"
     scores = mq.ml_clv(spark, d)
     sinks.write_single_csv(scores, path)
     return spark.read.schema(scores.schema).option("header", True).csv(path)

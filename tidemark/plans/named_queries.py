@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from tidemark.plans import audit_queries as au
 from tidemark.plans import model_queries as mq
 from tidemark.plans import platform_queries as pq
 from tidemark.registry import Registry
-from tidemark.session import table
+from tidemark.session import scratch, table
 from tidemark.sources.warehouse import Catalog, Factory
 from tidemark.streaming import windows as wi
 
@@ -159,7 +157,7 @@ def fs_write(spark: SparkSession, d: str) -> DataFrame:
 @REG.query("SELECT feature_name, count(*) AS n FROM feature_values WHERE NOT coalesce(feature_name = 'account_status' AND value IS NOT NULL AND value <> 'null' AND trim(value, '\"') NOT IN ('active', 'dormant'), false) GROUP BY 1")
 def fs_write_all(spark: SparkSession, d: str) -> DataFrame:
     """Values of every feature written to a store of their own, but for those that break a rule, and read back."""
-    path = f"{mq._folder(spark)}-{uuid.uuid4().hex}"
+    path = scratch(spark)
     values = table(spark, d, "feature_values")
     numbered = values.withColumn("source_id", F.col("value_id")).withColumn("value_id", F.xxhash64(*values.columns))
     fs.write_values(numbered, path, {"account_status": {"allowed": ("active", "dormant")}})

@@ -7,6 +7,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,21 +57,45 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
 _STORED: list[tuple[SparkSession, str]] = []
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted by ``drop_stored``."""
+    path = f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    if not _STORED:
+        atexit.register(drop_stored)
+    _STORED.append((spark, path))
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cuts lineage with a table written to the shared folder: columns, compressed, of which a reader takes those it needs.
 
     Tables stay until ``drop_stored`` or the end of the driver, since results may still read them.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    if not _STORED:
-        atexit.register(drop_stored)
-    _STORED.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_ONCE: dict[tuple, DataFrame] = {}
+
+
+def stored_once(spark: SparkSession, name: str, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the files at ``path``, written by the first that asks for it and read by all others.
+
+    It is made anew when the path's files have changed, by name, length or time.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    state = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, name, path, state)
+    if key not in _ONCE:
+        _ONCE[key] = stored(make())
+    return _ONCE[key]
+
+
 def drop_stored() -> None:
     """Deletes the tables of ``stored``; no result may read them afterwards."""
+    _ONCE.clear()
     while _STORED:
         spark, path = _STORED.pop()
         with contextlib.suppress(Exception):  # the session may have ended
