@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rows import attach
 from tidemark.functions.tails import chi2_tail, kolmogorov_tail
-from tidemark.operators.ordered import quantile_row, quantiles, sums_before
+from tidemark.operators.ordered import counted_quantiles, quantile_row, sums_before
+from tidemark.session import stored
 
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -16,11 +17,6 @@ def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(pairs).select("p.metric", "p.x").filter("x is not null and not isnan(x)")
 
 
-def _histogram(values: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """Counts per metric and right-open bin; the last bin holds its right edge, values outside the edges are left out."""
-    return _binned(values.join(F.broadcast(edges), "metric"), F.col("edges"), name)  # a row per metric, that is per column
-
-
 def _binned(values: DataFrame, e: Column, name: str) -> DataFrame:
     inside = values.filter((F.col("x") >= e[0]) & (F.col("x") <= F.element_at(e, -1)))
     bin_ = F.least(F.size(F.filter(e, lambda v: v <= F.col("x"))) - 1, F.size(e) - 2)
@@ -30,16 +26,22 @@ def _binned(values: DataFrame, e: Column, name: str) -> DataFrame:
 def psi(baseline: DataFrame, current: DataFrame, bins: int = 10, epsilon: float = 1e-6) -> DataFrame:
     """(metric, psi) of two long tables. Bins are the baseline's distinct percentiles, stretched to hold all values; empty
     bins count epsilon; a constant baseline gives 0. Metrics with fewer than ``bins`` values on a side give null."""
-    base = quantiles(baseline.withColumnRenamed("metric", "metric_"), {"x": F.col("x")}, [k / bins for k in range(bins + 1)], ["metric_"]).select(F.col("metric_").alias("metric"), F.col("q").alias("p"), F.col("q")[0].alias("lo"), F.element_at("q", -1).alias("hi"), F.col("n").alias("n_base"))
-    cur = current.groupBy("metric").agg(F.min("x").alias("clo"), F.max("x").alias("chi"), F.count(F.lit(1)).alias("n_cur"))
+    side = lambda df, b, c: df.select("metric", "x", F.lit(b).alias("b"), F.lit(c).alias("c"))
+    counts = stored(side(baseline, 1, 0).union(side(current, 0, 1)).groupBy("metric", "x").agg(F.sum("b").alias("b"), F.sum("c").alias("c")))  # both sides are read once
+    weighed = counts.filter("b > 0").select(F.struct("metric").alias("g"), F.col("x").alias("v"), F.col("b").alias("k"))
+    base = counted_quantiles(weighed, [k / bins for k in range(bins + 1)], []).select("metric", F.col("q").alias("p"), F.col("q")[0].alias("lo"), F.element_at("q", -1).alias("hi"), F.col("n").alias("n_base"))
+    cur = counts.filter("c > 0").groupBy("metric").agg(F.min("x").alias("clo"), F.max("x").alias("chi"), F.sum("c").alias("n_cur"))
     both = base.join(cur, "metric")  # one row per metric
     distinct = F.array_distinct("p")
     inner = F.slice(distinct, 2, F.greatest(F.size(distinct) - 2, F.lit(0)))
     edges = F.concat(F.array(F.least("lo", "clo") - epsilon), inner, F.array(F.greatest("hi", "chi") + epsilon))
-    limits = both.select("metric", "n_base", "n_cur", F.when(F.size(distinct) >= 2, edges).alias("edges"))
+    limits = stored(both.select("metric", "n_base", "n_cur", F.when(F.size(distinct) >= 2, edges).alias("edges")))
     usable = limits.filter("edges is not null").select("metric", "edges")
     grid = usable.select("metric", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    counts = grid.join(_histogram(baseline, usable, "b"), ["metric", "bin"], "left").join(_histogram(current, usable, "c"), ["metric", "bin"], "left").join(limits, "metric")
+    e = F.col("edges")
+    bin_ = F.least(F.size(F.filter(e, lambda v: v <= F.col("x"))) - 1, F.size(e) - 2)  # right-open; the last bin holds its right edge
+    filled = counts.join(F.broadcast(usable), "metric").groupBy("metric", bin_.alias("bin")).agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
+    counts = grid.join(filled, ["metric", "bin"], "left").join(limits, "metric")
     share = lambda n, total: F.when(F.coalesce(F.col(n), F.lit(0)) == 0, F.lit(epsilon)).otherwise(F.col(n) / F.col(total))
     b, c = share("b", "n_base"), share("c", "n_cur")
     sums = counts.groupBy("metric").agg(F.sum((c - b) * F.ln(c / b)).alias("psi"))
@@ -49,8 +51,8 @@ def psi(baseline: DataFrame, current: DataFrame, bins: int = 10, epsilon: float
 
 def ks_statistic(a: DataFrame, b: DataFrame, x: str) -> DataFrame:
     """One row (d, n, m): the largest distance of two empirical distributions, over value counts."""
-    side = lambda df, na, nb: df.filter(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(F.col(x).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("k")).select("x", (F.col("k") * na).alias("a"), (F.col("k") * nb).alias("b"))
-    counts = side(a, 1, 0).union(side(b, 0, 1)).groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    side = lambda df, na, nb: df.filter(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(F.col(x).cast("double").alias("x"), F.lit(na).alias("a"), F.lit(nb).alias("b"))
+    counts = stored(side(a, 1, 0).union(side(b, 0, 1)).groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     totals = counts.agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
     run = attach(sums_before(counts, "x", ["a", "b"]), totals)
     gap = F.abs(F.try_divide((F.col("a_before") + F.col("a")).cast("double"), F.col("n").cast("double")) - F.try_divide((F.col("b_before") + F.col("b")).cast("double"), F.col("m").cast("double")))

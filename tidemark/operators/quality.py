@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidemark.functions.exprs import floor_days
 from tidemark.functions.rows import attach
 from tidemark.operators.ordered import quantile_row, quantiles
+from tidemark.session import stored
 
 # ---------------------------------------------------------------- expectations
 
@@ -111,7 +112,7 @@ def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
     stats = rows.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.var_samp("x").alias("variance"), skew.alias("skewness"), kurt.alias("kurtosis"), F.count_if(x == 0).alias("zeros_count"), F.count_if(x < 0).alias("negative_count"))
     found = quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75]).select(F.col("metric").alias("column"), "q")
-    stats = stats.join(found, "column", "left")  # a row per column
+    stats = stored(stats.join(found, "column", "left"))  # a row per column
     limits = stats.select("column", (F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0])).alias("lo"), (F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])).alias("hi"))
     out = rows.join(F.broadcast(limits), "column").groupBy("column").agg(F.count_if((x < F.col("lo")) | (x > F.col("hi"))).alias("outliers_count"))
     qs = [F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr")]
