@@ -49,6 +49,14 @@ def psi(baseline: DataFrame, current: DataFrame, bins: int = 10, epsilon: float
     return limits.join(sums, "metric", "left").select("metric", F.when(enough, F.coalesce("psi", F.lit(0.0))).alias("psi"))
 
 
+def ecdf(df: DataFrame, x: str) -> DataFrame:
+    """(x, share): the share of values up to each value that occurs; nulls and NaN are left out."""
+    value = F.col(x).cast("double")
+    counts = df.filter(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("x")).agg(F.count(F.lit(1)).alias("k"))
+    run = sums_before(counts, "x", ["k"])
+    return attach(run, run.agg(F.sum("k").alias("n"))).select("x", ((F.col("k_before") + F.col("k")) / F.col("n")).alias("share"))
+
+
 def ks_statistic(a: DataFrame, b: DataFrame, x: str) -> DataFrame:
     """One row (d, n, m): the largest distance of two empirical distributions, over value counts."""
     side = lambda df, na, nb: df.filter(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(F.col(x).cast("double").alias("x"), F.lit(na).alias("a"), F.lit(nb).alias("b"))

@@ -199,13 +199,12 @@ def chi2_contingency(df: DataFrame, row: str, column: str) -> dict:
 
 
 def sequential(a: Moments, b: Moments, alpha: float = 0.05, beta: float = 0.2, effect: float = 0.5) -> dict:
-    """Sequential boundaries on the standardised difference of two groups of equal size."""
-    if a.n != b.n:
-        raise ValueError("groups must be of equal size")
-    se = math.sqrt((a.std**2 + b.std**2) / a.n)
+    """Sequential boundaries on the standardised difference of two groups. Sizes may differ: the error is that of both, and the
+    information that of the harmonic mean of the sizes, which is the size where they are equal."""
+    se = math.sqrt(a.std**2 / a.n + b.std**2 / b.n)
     z = (b.mean - a.mean) / se if se else 0.0
     theta = effect / math.sqrt(2)
-    information = a.n * theta**2 / 2
+    information = 2 / (1 / a.n + 1 / b.n) * theta**2 / 2
     upper, lower, now = math.log((1 - beta) / alpha) / theta, math.log(beta / (1 - alpha)) / theta, z * math.sqrt(information)
     return {"decision": "reject_h0" if now >= upper else "accept_h0" if now <= lower else "continue", "statistic": now, "upper": upper, "lower": lower, "information": information}
 

@@ -63,6 +63,13 @@ def p2_event_features_long(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d).withColumnsRenamed({"entity": "customer_id", "kind": "event_name"})
 
 
+@REG.query(f"""WITH l AS ({REG.oracles['p2_event_features_long']}) SELECT *, (sum("count") OVER w)::BIGINT AS events, count(*) OVER w AS kinds, min(days_since) OVER w AS last_days_since, (sum(total_spend) OVER w)::DECIMAL(28,2) AS spend FROM l WINDOW w AS (PARTITION BY customer_id)""")
+def p2_event_features_flat(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p2_event_features with their types spread out again."""
+    rows = p2_event_features(spark, d).withColumnsRenamed({"days_since": "last_days_since", "total_spend": "spend"})
+    return rows.select("*", F.explode("features").alias("f")).drop("features").select("*", "f.*").drop("f").withColumnRenamed("kind", "event_name")
+
+
 CURRENT_PERIODS = """cur AS (
   SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY period_id ORDER BY loaded_at DESC) AS k FROM period_aggregations) WHERE k = 1)"""
 

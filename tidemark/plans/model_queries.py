@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,9 +139,11 @@ def st_global(spark: SparkSession, d: str) -> DataFrame:
     return wi.overall(stream_events(spark, d), ["event_type"], columns).withColumns({"sum": F.round("sum", 6), "avg": F.round("avg", 6)})
 
 
-@REG.query("SELECT user_id, arg_min(value, ts) AS first, arg_max(value, ts) AS last FROM events GROUP BY 1")
+@REG.query(f"SELECT user_id, arg_min(value, ts) AS first, arg_max(value, ts) AS last, {_agg_sql('FROM events GROUP BY 1')}")
 def st_agg(spark: SparkSession, d: str) -> DataFrame:
-    return wi.overall(stream_events(spark, d), ["user_id"], wi.aggregates(F.col("value"), "ts")).select("user_id", "first", "last")
+    """All nine aggregates of each user's events."""
+    out = wi.overall(stream_events(spark, d), ["user_id"], wi.aggregates(F.col("value"), "ts"))
+    return out.withColumns({"sum": F.round("sum", 6), "avg": F.round("avg", 6)})
 
 
 @REG.query()
@@ -150,11 +151,16 @@ def st_emit(spark: SparkSession, d: str) -> DataFrame:
     """The stored events read as a stream, in append mode behind the watermark, until none is left."""
     stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet" if not os.path.isdir(f"{d}/events.parquet") else "*.parquet").parquet(d if not os.path.isdir(f"{d}/events.parquet") else f"{d}/events.parquet")
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"emitted_{uuid.uuid4().hex}"
+    path = scratch(spark)
     out = wi.tumbling(stream, "ts", "1 hour", ["event_type"], wi.aggregates(F.col("value"), "ts", streaming=True))
-    query = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+@REG.query("WITH e AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM events) SELECT w AS window_start, event_type, count(*) AS count, round(coalesce(sum(value), 0), 6) AS sum, min(value) AS min, max(value) AS max FROM e WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 SECONDS FROM events) GROUP BY 1, 2")
+def st_emit_closed(spark: SparkSession, d: str) -> DataFrame:
+    """What a stream of the events emits exactly: the windows that the watermark has closed."""
+    return st_emit(spark, d).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "count", F.round("sum", 6).alias("sum"), "min", "max")
 
 
 @REG.query("SELECT count(*) AS n, count(*) FILTER (WHERE k > 50) AS high FROM (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)")
@@ -163,7 +169,7 @@ def prj_json_path(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").agg(F.count(F.lit(1)).alias("n"), F.count_if(k > 50).alias("high"))
 
 
-@REG.query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') IN ('1', '2', '3') AND false IS NOT NULL")
+@REG.query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') IN ('1', '2', '3')")
 def flt_subscription(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").filter(ev.subscription({"k": [1, 2, 3]}, "props")).select("event_id")
 
@@ -232,7 +238,12 @@ def chart_pareto(spark: SparkSession, d: str) -> DataFrame:
     return la.chart_pareto(_lens1(spark, d))
 
 
-@REG.query()
+_L2 = au.REG.oracles["agg_lens2"]
+
+
+@REG.query(f"""SELECT CASE WHEN customer_count_change > 0 AND revenue_change_pct > 10 THEN 'strong' WHEN customer_count_change > 0 OR revenue_change_pct > 0 THEN 'moderate' ELSE 'negative' END AS momentum,
+ concat_ws('; ', CASE WHEN retention_rate > 80 THEN 'high retention' END, CASE WHEN retention_rate < 50 THEN 'low retention' END, CASE WHEN churn_rate > 30 THEN 'high churn' END, CASE WHEN new * 100.0 / (retained + new) > 30 THEN 'many new customers' END, CASE WHEN revenue_change_pct > 20 THEN 'revenue growth' END, CASE WHEN revenue_change_pct < -20 THEN 'revenue decline' END) AS drivers,
+ concat_ws('; ', CASE WHEN retention_rate < 60 THEN 'Improve retention' END, CASE WHEN churn_rate > 40 THEN 'Find the causes of churn' END, CASE WHEN customer_count_change < 0 THEN 'Win more customers' END, CASE WHEN revenue_change_pct < -10 THEN 'Restore revenue' END, CASE WHEN retention_rate > 70 AND customer_count_change > 0 AND revenue_change_pct > 5 THEN 'Keep the course' END) AS recommendations FROM ({_L2})""")
 def cls_lens2(spark: SparkSession, d: str) -> DataFrame:
     row = au.agg_lens2(spark, d)
     return row.select(la.lens2_momentum().alias("momentum"), F.array_join(la.lens2_drivers(), "; ").alias("drivers"), F.array_join(la.lens2_recommendations(), "; ").alias("recommendations"))
@@ -244,7 +255,10 @@ def chart_sankey(spark: SparkSession, d: str) -> DataFrame:
     return la.chart_sankey(au.agg_lens2_status(spark, d))
 
 
-@REG.query()
+@REG.query(f"""WITH l AS (SELECT *, active_customers * 100.0 / cohort_size AS r, row_number() OVER (PARTITION BY cohort_id ORDER BY period_number DESC) AS back FROM ({au.REG.oracles['agg_lens3']})),
+g AS (SELECT cohort_id, count(*) AS n, max(r) FILTER (WHERE back = 1) AS last_r, sum(revenue_per_member) AS ltv, arg_min(revenue_per_member, period_number) AS first_v, arg_max(revenue_per_member, period_number) AS last_v, max(r) FILTER (WHERE period_number = 1) AS r1, avg(revenue_per_member) AS mean_v, max(cumulative_activation_rate) * 100 AS act, bool_and(r < 10) FILTER (WHERE back <= 3) AS low FROM l GROUP BY 1)
+SELECT cohort_id, CASE WHEN n <= 2 THEN 'early' WHEN n <= 6 THEN 'growth' WHEN n <= 12 THEN 'mature' WHEN last_r < 10 THEN 'declining' ELSE 'mature' END AS maturity, CASE WHEN n < 2 THEN 'moderate' WHEN ltv > 500 THEN 'strong' WHEN n >= 3 AND last_v > 0.5 * first_v THEN 'moderate' WHEN ltv < 100 THEN 'weak' ELSE 'moderate' END AS ltv_trend,
+ concat_ws('; ', CASE WHEN r1 < 30 THEN 'Improve the first repeat' END, CASE WHEN mean_v < 50 THEN 'Raise revenue per member' END, CASE WHEN act < 50 THEN 'Activate more of the cohort' END, CASE WHEN n >= 3 AND low THEN 'Win the cohort back' END) AS recommendations FROM g""")
 def cls_lens3(spark: SparkSession, d: str) -> DataFrame:
     return la.lens3_labels(au.agg_lens3(spark, d))
 
@@ -265,7 +279,9 @@ def _lens4(spark: SparkSession, d: str) -> DataFrame:
     return per.join(second, "cohort_id")
 
 
-@REG.query()
+@REG.query(f"""WITH p AS (SELECT cohort_id, sum(total_revenue)::DOUBLE / max(cohort_size) AS rev, avg(aof) AS f, avg(aov) AS aov FROM ({au.REG.oracles['agg_decomp']}) GROUP BY 1), s AS (SELECT max(rev) AS rh, min(rev) AS rl, max(f) AS fh, min(f) AS fl, max(aov) AS ah, min(aov) AS al, max(median_days) AS mh, min(median_days) AS ml, avg(mean_days) AS t FROM p JOIN ({au.REG.oracles['agg_ttsp']}) USING (cohort_id))
+SELECT concat_ws('; ', CASE WHEN (rh - rl) / nullif(rh, 0) > 0.5 THEN 'revenue differs' END, CASE WHEN fh / nullif(fl, 0) > 1.5 THEN 'frequency differs' END, CASE WHEN (ah - al) / nullif(ah, 0) > 0.3 THEN 'order value differs' END, CASE WHEN mh / nullif(ml, 0) > 1.5 THEN 'time to the second order differs' END) AS differences,
+ concat_ws('; ', CASE WHEN rh / nullif(rl, 0) > 2 THEN 'Study what the best cohort bought' END, CASE WHEN fh / nullif(fl, 0) > 1.5 THEN 'Raise the frequency of weak cohorts' END, CASE WHEN ah / nullif(al, 0) > 1.3 THEN 'Raise the order value of weak cohorts' END, CASE WHEN t > 60 THEN 'Shorten the time to the second order' END) AS recommendations FROM s""")
 def cls_lens4(spark: SparkSession, d: str) -> DataFrame:
     rows = _lens4(spark, d)
     return attach(la.lens4_differences(rows), la.lens4_recommendations(rows))

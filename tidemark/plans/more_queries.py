@@ -142,8 +142,11 @@ def prj_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.query("SELECT count(*) AS transactions, count(DISTINCT customer_id) AS customers, min(event_ts) AS first_ts, max(event_ts) AS last_ts FROM txn_lines")
 def src_json_mcp(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "txn_lines").withColumn("order_ts", F.lit(None).cast("timestamp_ntz"))
-    return files.transactions_summary(lines)
+    """The lines written as files of one JSON array each, and read back as transactions."""
+    path = scratch(spark)
+    lines = table(spark, d, "txn_lines").withColumn("event_ts", F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    files.write_json_arrays(lines.drop("line_no", "ingested_at"), path)
+    return files.transactions_summary(files.read_transactions(spark, path))
 
 
 @REG.query("SELECT count(*) AS n FROM nation WHERE n_regionkey = 1")
@@ -180,7 +183,9 @@ def snk_drift(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(texts, "format string, text string")
 
 
-@REG.query()
+@REG.query(f"""SELECT 'health' AS kind, concat('The customer base grades ', health_grade, ' with a score of ', health_score, '. Retention is ', retention_rate, ' %, the repeat trend ', repeat_trend, ', and ', acquisition_dependence_pct, ' % of revenue comes from the newest cohort.') AS text FROM ({au.REG.oracles['agg_lens5']})
+UNION ALL SELECT 'retention', concat(retained, ' customers stayed (', retention_rate, ' %), ', churned, ' left (', churn_rate, ' %), ', new, ' are new, of whom ', reactivated, ' had bought before. Revenue changed by ', revenue_change_pct, ' %.') FROM ({au.REG.oracles['agg_lens2']})
+UNION ALL SELECT 'cohorts', concat(count(*), ' cohorts. The best is ', arg_max(cohort_id, (total_revenue, cohort_id)), ' with ', max(total_revenue), ', the weakest ', arg_min(cohort_id, (total_revenue, cohort_id)), ' with ', min(total_revenue), '.') FROM ({au.REG.oracles['agg_cohort_summary']})""")
 def snk_summaries(spark: SparkSession, d: str) -> DataFrame:
     health, moved = au.agg_lens5(spark, d).first().asDict(), au.agg_lens2(spark, d).first().asDict()
     cohorts = [r.asDict() for r in au.agg_cohort_summary(spark, d).collect()]

@@ -36,7 +36,7 @@ def cls_lens1_risk(spark: SparkSession, d: str) -> DataFrame:
     return mq.cls_lens1(spark, d).select("risk")
 
 
-@REG.query()
+@REG.query(f"SELECT recommendations FROM ({mq.REG.oracles['cls_lens1']})")
 def cls_lens1_recs(spark: SparkSession, d: str) -> DataFrame:
     return mq.cls_lens1(spark, d).select("recommendations")
 
@@ -72,17 +72,17 @@ def cls_lens3_ltv(spark: SparkSession, d: str) -> DataFrame:
     return mq.cls_lens3(spark, d).select("cohort_id", "ltv_trend")
 
 
-@REG.query()
+@REG.query(f"SELECT cohort_id, recommendations FROM ({mq.REG.oracles['cls_lens3']})")
 def cls_lens3_recs(spark: SparkSession, d: str) -> DataFrame:
     return mq.cls_lens3(spark, d).select("cohort_id", "recommendations")
 
 
-@REG.query()
+@REG.query(f"SELECT differences FROM ({mq.REG.oracles['cls_lens4']})")
 def cls_lens4_diff(spark: SparkSession, d: str) -> DataFrame:
     return la.lens4_differences(mq._lens4(spark, d))
 
 
-@REG.query()
+@REG.query(f"SELECT recommendations FROM ({mq.REG.oracles['cls_lens4']})")
 def cls_lens4_recs(spark: SparkSession, d: str) -> DataFrame:
     return la.lens4_recommendations(mq._lens4(spark, d))
 
@@ -105,29 +105,34 @@ def fs_computers(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- driver-side parts
 
 
-def _dag() -> wf.Dag:
-    dag = wf.Dag()
-    for name, after in (("load", ()), ("mart", ("load",)), ("rfm", ("mart",)), ("cohorts", ("load",)), ("lens3", ("mart", "cohorts")), ("report", ("rfm", "lens3"))):
-        dag.add(wf.Task(name, lambda r: 1, after))
+def _dag(spark: SparkSession, d: str, bad: int | None = None) -> wf.Dag:
+    """A task for each region, one for each nation after its region, and a report after all; the region ``bad`` fails. Both tables are fixed."""
+    dag, nations = wf.Dag(), table(spark, d, "nation").select("n_nationkey", "n_regionkey").collect()
+    for r in table(spark, d, "region").select("r_regionkey").collect():
+        fails = r[0] == bad
+        dag.add(wf.Task(f"r{r[0]}", (lambda x: 1 / 0) if fails else (lambda x: 1), (), retries=1 if fails else 0))
+    for n, r in nations:
+        dag.add(wf.Task(f"n{n}", lambda x: 1, (f"r{r}",)))
+    dag.add(wf.Task("report", lambda x: 1, tuple(f"n{n}" for n, _ in nations)))
     return dag
 
 
-@REG.query("SELECT * FROM (VALUES ('load', 0::BIGINT), ('cohorts', 1), ('mart', 1), ('lens3', 2), ('rfm', 2), ('report', 3)) t(task, wave)")
+@REG.query("SELECT 'r' || r_regionkey AS task, 0::BIGINT AS wave FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT 'report', 2")
 def wf_dag(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(t, i) for i, wave in enumerate(_dag().waves()) for t in wave], "task string, wave bigint")
+    return spark.createDataFrame([(t, i) for i, wave in enumerate(_dag(spark, d).waves()) for t in wave], "task string, wave bigint")
 
 
-@REG.query("SELECT * FROM (VALUES ('load', 'succeeded'), ('mart', 'failed'), ('cohorts', 'succeeded'), ('rfm', 'upstream_failed'), ('lens3', 'upstream_failed'), ('report', 'upstream_failed')) t(task, state)")
+@REG.query("SELECT 'r' || r_regionkey AS task, CASE WHEN r_regionkey = 2 THEN 'failed' ELSE 'succeeded' END AS state FROM region UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_regionkey = 2 THEN 'upstream_failed' ELSE 'succeeded' END FROM nation UNION ALL SELECT 'report', 'upstream_failed'")
 def wf_engine(spark: SparkSession, d: str) -> DataFrame:
-    dag = _dag()
-    dag.add(wf.Task("mart", lambda r: 1 / 0, ("load",), retries=1))
-    return spark.createDataFrame(list(dag.execute(sleep=lambda s: None).items()), "task string, state string")
+    return spark.createDataFrame(list(_dag(spark, d, bad=2).execute(sleep=lambda s: None).items()), "task string, state string")
 
 
-@REG.query("SELECT n, 2.0::DOUBLE AS fixed, 2.0::DOUBLE * n AS linear, 2.0::DOUBLE * n * n AS polynomial, least(2.0::DOUBLE * power(2, n - 1), 300)::DOUBLE AS exponential FROM (SELECT unnest([1, 2, 3, 9])::BIGINT AS n)")
+@REG.query("SELECT n_nationkey, 2.0::DOUBLE AS fixed, 2.0::DOUBLE * n AS linear, 2.0::DOUBLE * n * n AS polynomial, least(2.0::DOUBLE * power(2, n - 1), 300)::DOUBLE AS exponential FROM (SELECT n_nationkey, n_nationkey % 12 + 1 AS n FROM nation)")
 def wf_retry(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(n, wf.delay_fixed(n, 2.0), wf.delay_linear(n, 2.0), wf.delay_polynomial(n, 2.0), wf.delay_exponential(n, 2.0, jitter=0.0)) for n in (1, 2, 3, 9)]
-    return spark.createDataFrame(rows, "n bigint, fixed double, linear double, polynomial double, exponential double")
+    """The waits before a try whose number is made of each nation's key."""
+    tries = [(r[0], r[0] % 12 + 1) for r in table(spark, d, "nation").select("n_nationkey").collect()]  # a fixed table
+    rows = [(k, wf.delay_fixed(n, 2.0), wf.delay_linear(n, 2.0), wf.delay_polynomial(n, 2.0), wf.delay_exponential(n, 2.0, jitter=0.0)) for k, n in tries]
+    return spark.createDataFrame(rows, "n_nationkey int, fixed double, linear double, polynomial double, exponential double")
 
 
 @REG.query("SELECT 'hits' AS name, 1::BIGINT AS n UNION ALL SELECT 'misses', 1 UNION ALL SELECT 'rows', (SELECT count(*) FROM (SELECT DISTINCT n_regionkey FROM nation))")
@@ -170,14 +175,18 @@ def fs_discover(spark: SparkSession, d: str) -> DataFrame:
     return fs.discover(kinds, "promo").select(F.col("feature_name").alias("event_name"))
 
 
-@REG.query("SELECT event_id, round(value * (1 - 3.0::DOUBLE / (4 * 40 - 9)), 9) AS g FROM events")
+@REG.query("""WITH g AS (SELECT event_type, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)
+SELECT b.event_type, round((b.m - a.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)) * (1 - 3 / (4.0 * (a.n + b.n) - 9)), 9)::DOUBLE AS g FROM g a, g b WHERE a.event_type = 'view' AND b.event_type <> 'view'""")
 def st_hedges(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.round(F.col("value") * F.lit(ex.hedges(1.0, 40)), 9).alias("g"))
+    """The corrected effect of each kind of event against views."""
+    m = ex.moments(table(spark, d, "events"), "event_type", "value")
+    rows = [(k, ex.t_test(m["view"], v)["hedges_g"]) for k, v in m.items() if k not in (None, "view")]  # a handful of kinds
+    return spark.createDataFrame(rows, "event_type string, g double").withColumn("g", F.round("g", 9))
 
 
-@REG.query("SELECT src, dst FROM edges_ WHERE src IN ('r1', 'r2')".replace("edges_", f"(WITH {pq._EDGES} SELECT * FROM edges)"))
+@REG.query("SELECT src, dst FROM edges_ WHERE src LIKE 'n%'".replace("edges_", f"(WITH {pq._EDGES} SELECT * FROM edges)"))
 def jn_edges(spark: SparkSession, d: str) -> DataFrame:
-    frontier = spark.createDataFrame([("r1",), ("r2",)], "src string")
+    frontier = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"))
     return pq.graph(spark, d)[1].join(frontier, "src").select("src", "dst")
 
 

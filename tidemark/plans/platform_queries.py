@@ -56,20 +56,28 @@ def agg_ks(spark: SparkSession, d: str) -> DataFrame:
     return dr.ks_statistic(*halves(spark, d), "l_extendedprice").withColumn("d", F.round("d", 9))
 
 
-@REG.query(f"WITH {_KS} SELECT round(max(abs(gap)), 9) AS d, (SELECT sum(a) FROM c)::BIGINT AS n, (SELECT sum(b) FROM c)::BIGINT AS m FROM r")
+@REG.query("SELECT x, round(sum(k) OVER (ORDER BY x) / sum(k) OVER (), 9)::DOUBLE AS share FROM (SELECT l_extendedprice::DOUBLE AS x, count(*) AS k FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1)")
 def win_ecdf(spark: SparkSession, d: str) -> DataFrame:
-    return dr.ks_statistic(*halves(spark, d), "l_extendedprice").withColumn("d", F.round("d", 9))
+    return dr.ecdf(table(spark, d, "lineitem"), "l_extendedprice").select("x", F.round("share", 9).alias("share"))
 
 
-@REG.query("SELECT 3::BIGINT AS total_tests, count(*) FILTER (WHERE s >= 0.2)::BIGINT AS drift_count, 1::BIGINT AS high_severity, 1::BIGINT AS medium_severity, 1::BIGINT AS low_severity FROM (VALUES (0.3), (0.15), (0.01)) t(s)")
+@REG.query("""WITH t AS (SELECT event_id % 3 = 0 AS ks, value / 100 AS s, value / 5000 AS p FROM events)
+SELECT count(*) AS total_tests, count(*) FILTER (WHERE CASE WHEN ks THEN p < 0.05 ELSE s >= 0.2 END) AS drift_count, count(*) FILTER (WHERE CASE WHEN ks THEN p < 0.001 ELSE s >= 0.25 END) AS high_severity,
+ count(*) FILTER (WHERE CASE WHEN ks THEN p >= 0.001 AND p < 0.01 ELSE s >= 0.1 AND s < 0.25 END) AS medium_severity, count(*) FILTER (WHERE CASE WHEN ks THEN coalesce(p >= 0.01, true) ELSE coalesce(s < 0.1, true) END) AS low_severity FROM t""")
 def agg_drift_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("psi", 0.3, None, True), ("psi", 0.15, None, False), ("ks", 0.01, 0.2, False)], "test_type string, drift_score double, p_value double, drift_detected boolean")
-    return dr.drift_summary(rows)
+    """Over the events as test results: every third one a test with a p-value, the others scores."""
+    s, p, ks = F.col("value") / 100, F.col("value") / 5000, F.col("event_id") % 3 == 0
+    return dr.drift_summary(table(spark, d, "events").select(F.when(ks, "ks").otherwise("psi").alias("test_type"), s.alias("drift_score"), F.when(ks, p).alias("p_value"), F.when(ks, p < 0.05).otherwise(s >= 0.2).alias("drift_detected")))
 
 
-@REG.query()
+_TENTHS = ", ".join(repr(k / 10) for k in range(11))
+
+
+@REG.query(f"""WITH v AS (SELECT l_quantity::DOUBLE AS x, {SQL_CUT} AS ref FROM lineitem WHERE l_quantity IS NOT NULL AND l_shipdate IS NOT NULL), e AS (SELECT list_sort(list_distinct(quantile_cont(x, [{_TENTHS}]) FILTER (WHERE ref))) AS e FROM v),
+b AS (SELECT e, unnest(range(0, len(e) - 1)) AS bin FROM e), n AS (SELECT bin, count(x) FILTER (WHERE ref) AS r, count(x) FILTER (WHERE NOT ref) AS c FROM b LEFT JOIN v ON x >= e[bin + 1] AND (x < e[bin + 2] OR bin = len(e) - 2 AND x = e[bin + 2]) GROUP BY 1),
+s AS (SELECT CASE WHEN r = 0 THEN 1e-6 ELSE r / sum(r) OVER () END AS pr, CASE WHEN c = 0 THEN 1e-6 ELSE c / sum(c) OVER () END AS pc FROM n) SELECT round(abs(sum((pc - pr) * ln(pc / pr))), 9) AS psi FROM s""")
 def agg_model_psi(spark: SparkSession, d: str) -> DataFrame:
-    return dr.model_psi(*halves(spark, d), "l_quantity")
+    return dr.model_psi(*halves(spark, d), "l_quantity").withColumn("psi", F.round("psi", 9))
 
 
 _CATEGORIES = f"""c AS (SELECT l_returnflag, count(*) FILTER (WHERE {SQL_CUT}) AS b, count(*) FILTER (WHERE NOT ({SQL_CUT})) AS c FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1), s AS (SELECT greatest(b / (SELECT sum(b) FROM c), 1e-6) AS pb, greatest(c / (SELECT sum(c) FROM c), 1e-6) AS pc FROM c)"""
@@ -159,10 +167,16 @@ def agg_corr(spark: SparkSession, d: str) -> DataFrame:
     return qu.correlations(table(spark, d, "lineitem"), list(_CORR)).withColumn("correlation", F.round("correlation", 6))
 
 
-@REG.query()
+def _profile_sql(name: str, where: str) -> str:
+    columns = ("label_id", "customer_id", "label_ts", "label_kind", "outcome", "ingested_at")
+    missing = " + ".join(f"count(*) - count({c})" for c in columns)
+    return f"{name} AS (SELECT count(*) AS n, round(({missing}) / (count(*) * 6.0) * 100, 6) AS missing, (SELECT sum(k - 1)::BIGINT FROM (SELECT count(*) AS k FROM scoring_labels WHERE {where} GROUP BY {', '.join(columns)})) AS twice FROM scoring_labels WHERE {where})"
+
+
+@REG.query(f"WITH {_profile_sql('a', 'outcome')}, {_profile_sql('b', 'true')} SELECT b.n - a.n AS row_count_change, 0::INTEGER AS column_count_change, round(b.missing - a.missing, 6)::DOUBLE AS missing_pct_change, b.twice - a.twice AS duplicate_rows_change, concat_ws('; ', CASE WHEN abs(b.n - a.n) > 0.1 * a.n THEN 'row count changed' END, CASE WHEN b.missing - a.missing > 5 THEN 'more missing values' END) AS warnings FROM a, b")
 def agg_profile_cmp(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "scoring_labels")
-    return qu.compare_profiles(qu.profile(t.filter("outcome")), qu.profile(t))
+    return qu.compare_profiles(qu.profile(t.filter("outcome")), qu.profile(t)).withColumn("missing_pct_change", F.round("missing_pct_change", 6))
 
 
 @REG.query("""WITH f AS (SELECT quantile_cont(total_spend::DOUBLE, 0.25) AS a, quantile_cont(total_spend::DOUBLE, 0.75) AS b, quantile_cont(total_quantity::DOUBLE, 0.25) AS c, quantile_cont(total_quantity::DOUBLE, 0.75) AS e FROM order_aggregations),
@@ -208,7 +222,11 @@ def jn_actual_pred(spark: SparkSession, d: str) -> DataFrame:
     return actual.join(predicted, "customer_id")
 
 
-@REG.query()
+@REG.query(f"""WITH o AS (SELECT customer_id, order_ts, total_spend::DOUBLE AS a FROM order_aggregations WHERE customer_id IS NOT NULL AND order_ts IS NOT NULL AND total_spend IS NOT NULL),
+f AS (SELECT (lo + to_months(12 + 3 * k))::DATE AS train_end, (lo + to_months(15 + 3 * k))::DATE AS test_end FROM (SELECT min(order_ts)::DATE AS lo, max(order_ts)::DATE AS hi FROM o), (SELECT unnest(range(0, 400))::INTEGER AS k) WHERE (lo + to_months(15 + 3 * k))::DATE <= hi),
+m AS (SELECT train_end, test_end, customer_id, avg(a) AS p FROM f JOIN o ON order_ts < train_end GROUP BY 1, 2, 3), r AS (SELECT train_end, test_end, a, p FROM m JOIN o USING (customer_id) WHERE order_ts >= train_end AND order_ts <= test_end)
+SELECT train_end::VARCHAR AS train_end, test_end::VARCHAR AS test_end, {_TWO.format('avg(abs(a - p))', 2)} AS mae, {_TWO.format('coalesce(avg(abs((a - p) / a)) FILTER (WHERE a <> 0) * 100, 0)', 2)} AS mape, {_TWO.format('sqrt(avg((a - p) * (a - p)))', 2)} AS rmse, {_TWO.format('coalesce(abs(sum(a) - sum(p)) / nullif(sum(a), 0) * 100, 0)', 2)} AS arpe,
+ {_TWO.format('CASE WHEN var_pop(a) > 0 THEN 1 - avg((a - p) * (a - p)) / var_pop(a) ELSE 0 END', 4)} AS r_squared, count(*) AS sample_size FROM r GROUP BY 1, 2""")
 def agg_cv(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "order_aggregations").filter("customer_id is not null and order_ts is not null and total_spend is not null")
 
@@ -288,39 +306,68 @@ def agg_ab(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dict_rows(spark: SparkSession, values: dict) -> DataFrame:
-    return spark.createDataFrame([(k, None if isinstance(v, str) else float(v), v if isinstance(v, str) else None) for k, v in values.items()], "name string, number double, text string")
+    return spark.createDataFrame([(k, None if isinstance(v, str) else float(v), v if isinstance(v, str) else None) for k, v in values.items()], "name string, number double, text string").withColumn("number", F.round("number", 6))
 
 
-@REG.query()
+def _named_sql(source: str, **values: str) -> str:
+    """Rows (name, number, text) of the values of one row; a value in apostrophes is a text."""
+    return " UNION ALL ".join(f"SELECT '{k}' AS name, {'NULL::DOUBLE' if v.startswith('text:') else f'round(({v})::DOUBLE, 6)'} AS number, {v[5:] if v.startswith('text:') else 'NULL::VARCHAR'} AS text FROM {source}" for k, v in values.items())
+
+
+def _integral(density: str, upper: str) -> str:
+    """The integral of a density in u from 0 to ``upper`` by Simpson's rule over 4,000 steps."""
+    return f"(SELECT sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({density})) * ({upper}) / 12000 FROM (SELECT i, i * ({upper}) / 4000.0 AS u FROM range(0, 4001) g(i)))"
+
+
+_BELL = "exp(-u * u / 2) / sqrt(2 * pi())"
+_TWO_GROUPS = """g AS (SELECT event_type, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM events WHERE value IS NOT NULL AND event_type IN ('view', 'click') GROUP BY 1),
+s AS (SELECT a.n AS na, b.n AS nb, a.m AS ma, b.m AS mb, a.v AS va, b.v AS vb, b.m - a.m AS diff, a.v / a.n + b.v / b.n AS e2, ((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) AS pooled FROM g a, g b WHERE a.event_type = 'view' AND b.event_type = 'click')"""
+#: Fixed value: the normal quantile of 0.975.
+_Z = "1.959963984540054"
+_T975 = f"({_Z} + (power({_Z}, 3) + {_Z}) / (4 * df) + (5 * power({_Z}, 5) + 16 * power({_Z}, 3) + 3 * {_Z}) / (96 * df * df))"
+
+
+@REG.query(f"""WITH {_TWO_GROUPS}, t AS (SELECT *, diff / sqrt(e2) AS t, e2 * e2 / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1)) AS df, diff / sqrt(pooled) AS d FROM s),
+p AS (SELECT *, 1 - 2 * {_integral("exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * power(1 + u * u / df, -(df + 1) / 2)", "abs(t)")} AS p, {_T975} * sqrt(e2) AS half FROM t)
+{_named_sql("p", statistic="t", p_value="p", df="df", effect_size="d", hedges_g="d * (1 - 3 / (4.0 * (na + nb) - 9))", low="diff - half", high="diff + half")}""")
 def st_ttest(spark: SparkSession, d: str) -> DataFrame:
     m = ex.moments(table(spark, d, "events"), "event_type", "value")
     return _dict_rows(spark, ex.t_test(m["view"], m["click"]))
 
 
-@REG.query()
+@REG.query(f"""WITH c AS (SELECT value AS x, count(*) FILTER (WHERE event_type = 'view') AS a, count(*) AS k FROM events WHERE value IS NOT NULL AND event_type IN ('view', 'click') GROUP BY 1),
+r AS (SELECT *, coalesce(sum(k) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (k + 1) / 2.0::DOUBLE AS rank FROM c), q AS (SELECT sum(a)::DOUBLE AS n1, sum(k)::DOUBLE AS n, sum(a * rank) AS r1, sum(power(k::DOUBLE, 3) - k) AS ties FROM r),
+u AS (SELECT n1, n - n1 AS n2, r1 - n1 * (n1 + 1) / 2 AS u, n1 * (n - n1) / 2 AS mean, n1 * (n - n1) / 12 * (n + 1 - ties / (n * (n - 1))) AS var FROM q), z AS (SELECT *, greatest((abs(u - mean) - 0.5) / sqrt(var), 0) AS z FROM u),
+p AS (SELECT *, 1 - 2 * {_integral(_BELL, "z")} AS p FROM z) {_named_sql("p", statistic="u", p_value="least(p, 1)", effect_size="1 - 2 * u / (n1 * n2)")}""")
 def st_mwu(spark: SparkSession, d: str) -> DataFrame:
     return _dict_rows(spark, ex.mann_whitney(table(spark, d, "events"), "event_type", "value", "view", "click"))
 
 
-@REG.query()
+@REG.query(f"""WITH g AS (SELECT event_type, count(*) FILTER (WHERE value > 10)::DOUBLE AS x, count(value)::DOUBLE AS n FROM events GROUP BY 1), s AS (SELECT a.x / a.n AS p1, b.x / b.n AS p2, (a.x + b.x) / (a.n + b.n) AS p, 1 / a.n + 1 / b.n AS w FROM g a, g b WHERE a.event_type = 'view' AND b.event_type = 'click'),
+z AS (SELECT *, sqrt(p * (1 - p) * w) AS se, (p2 - p1) / sqrt(p * (1 - p) * w) AS z FROM s), p AS (SELECT *, 1 - 2 * {_integral(_BELL, "abs(z)")} AS tail FROM z)
+{_named_sql("p", statistic="z", p_value="tail", effect_size="p2 - p1", low=f"p2 - p1 - {_Z} * se", high=f"p2 - p1 + {_Z} * se")}""")
 def st_prop(spark: SparkSession, d: str) -> DataFrame:
     n = {r["event_type"]: (r["hits"], r["n"]) for r in table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 10).alias("hits"), F.count("value").alias("n")).collect()}
     return _dict_rows(spark, ex.proportions(*n["view"], *n["click"]))
 
 
-@REG.query()
+@REG.query(f"""WITH c AS (SELECT l_returnflag AS r, l_linestatus AS c, count(*)::DOUBLE AS n FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY r) AS nr, sum(n) OVER (PARTITION BY c) AS nc, sum(n) OVER () AS total FROM c),
+x AS (SELECT any_value(total) AS total, any_value(total) * (sum(n * n / (nr * nc)) - 1) AS chi, (count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS df, least(count(DISTINCT r), count(DISTINCT c)) - 1 AS k FROM t)
+{_named_sql("x", statistic="chi", p_value="CASE df WHEN 2 THEN exp(-chi / 2) END", df="df", effect_size="sqrt(chi / (total * k))")}""")
 def st_chi2(spark: SparkSession, d: str) -> DataFrame:
     return _dict_rows(spark, ex.chi2_contingency(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus"))
 
 
-@REG.query()
+@REG.query(f"""WITH {_TWO_GROUPS}, q AS (SELECT diff / sqrt(e2) AS z, 0.5 / sqrt(2) AS theta, 2 / (1.0 / na + 1.0 / nb) AS n FROM s), x AS (SELECT z * sqrt(n * theta * theta / 2) AS now, n * theta * theta / 2 AS information, ln(0.8 / 0.05) / theta AS upper, ln(0.2 / 0.95) / theta AS lower FROM q)
+{_named_sql("x", decision="text:CASE WHEN now >= upper THEN 'reject_h0' WHEN now <= lower THEN 'accept_h0' ELSE 'continue' END", statistic="now", upper="upper", lower="lower", information="information")}""")
 def st_seq(spark: SparkSession, d: str) -> DataFrame:
     m = ex.moments(table(spark, d, "events"), "event_type", "value")
-    n = min(m["view"].n, m["click"].n)
-    return _dict_rows(spark, ex.sequential(*(ex.Moments(n, m[k].mean, m[k].std) for k in ("view", "click"))))
+    return _dict_rows(spark, ex.sequential(m["view"], m["click"]))
 
 
-@REG.query()
+@REG.query(f"""WITH {_TWO_GROUPS}, q AS (SELECT diff, sqrt(e2) AS sd, diff / sqrt(e2) AS z, abs((0.1 - diff) / sqrt(e2)) AS z1, abs((-0.1 - diff) / sqrt(e2)) AS z2 FROM s),
+x AS (SELECT *, 0.5 + sign(z) * {_integral(_BELL, "abs(z)")} AS better, exp(-z * z / 2) / sqrt(2 * pi()) AS density, sign(0.1 - diff) * {_integral(_BELL, "z1")} - sign(-0.1 - diff) * {_integral(_BELL, "z2")} AS rope FROM q)
+{_named_sql("x", prob_b_better="better", loss_a="diff * better + sd * density", loss_b="-diff * (1 - better) + sd * density", prob_in_rope="rope")}""")
 def st_bayes(spark: SparkSession, d: str) -> DataFrame:
     m = ex.moments(table(spark, d, "events"), "event_type", "value")
     return _dict_rows(spark, ex.bayes_normal(m["view"], m["click"], 0.1))
@@ -332,14 +379,13 @@ def st_power(spark: SparkSession, d: str) -> DataFrame:
     return _dict_rows(spark, {"sample_size": n, "power": ex.power_of(n, 0.2), "smallest_effect": ex.smallest_effect(n), "hedges": ex.hedges(0.5, 40)})
 
 
-_P = "(VALUES ('a', 0.01), ('b', 0.04), ('c', 0.03), ('d', 0.005), ('e', 0.5))"
-
-
-@REG.query(f"""WITH r AS (SELECT n AS name, p::DOUBLE AS p, row_number() OVER (ORDER BY p, n) AS k, count(*) OVER () AS m FROM {_P} t(n, p))
+@REG.query("""WITH t AS (SELECT 'u' || (user_id % 12) AS n, power(round(avg(value), 6) / 100, 6) AS p FROM events GROUP BY 1), r AS (SELECT n AS name, p, row_number() OVER (ORDER BY p, n) AS k, count(*) OVER () AS m FROM t), h AS (SELECT sum(1.0::DOUBLE / i) AS h FROM r, range(1, 13) g(i) WHERE k = i)
 SELECT 'bonferroni' AS method, name, round(least(p * m, 1), 9) AS adjusted FROM r UNION ALL SELECT 'holm', name, round(least(max(p * (m - k + 1)) OVER (ORDER BY k), 1), 9) FROM r UNION ALL SELECT 'fdr_bh', name, round(least(min(p * m / k) OVER (ORDER BY k DESC), 1), 9) FROM r
-UNION ALL SELECT 'fdr_by', name, round(least(min(p * m / k * (1 + 1/2 + 1/3 + 1/4 + 1/5)) OVER (ORDER BY k DESC), 1), 9) FROM r UNION ALL SELECT 'sidak', name, round(least(1 - power(1 - p, m), 1), 9) FROM r""")
+UNION ALL SELECT 'fdr_by', name, round(least(min(p * m / k * h) OVER (ORDER BY k DESC), 1), 9) FROM r, h UNION ALL SELECT 'sidak', name, round(least(1 - power(1 - p, m), 1), 9) FROM r""")
 def st_mcc(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.005), ("e", 0.5)], "name string, p_value double")
+    """Twelve p-values made from the means of the events of a twelfth of the users each."""
+    name = F.concat(F.lit("u"), (F.col("user_id") % 12).cast("string"))
+    p = table(spark, d, "events").groupBy(name.alias("name")).agg(F.pow(F.round(F.avg("value"), 6) / 100, F.lit(6)).alias("p_value"))
     out = None
     for m in ("bonferroni", "holm", "fdr_bh", "fdr_by", "sidak"):
         part = ex.adjust(p, m).select(F.lit(m).alias("method"), "name", F.round("adjusted", 9).alias("adjusted"))
@@ -347,10 +393,14 @@ def st_mcc(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@REG.query("SELECT true AS stop, 'time is up' AS reason")
+@REG.query(f"""WITH {_TWO_GROUPS}, x AS (SELECT *, (SELECT date_diff('day', min(ts)::DATE, max(ts)::DATE) FROM events) AS days, (SELECT min(n) FROM (SELECT count(*) AS n FROM events GROUP BY event_type)) AS least, abs(diff / sqrt(e2)) AS t FROM s)
+SELECT CASE WHEN least < 100 THEN false WHEN days >= 60 OR t > {_Z} THEN true ELSE false END AS stop, CASE WHEN least < 100 THEN 'too few samples' WHEN days >= 60 THEN 'time is up' WHEN t > {_Z} THEN 'significant' ELSE 'go on' END AS reason FROM x""")
 def ab_stop(spark: SparkSession, d: str) -> DataFrame:
-    stats = ex.variant_stats(table(spark, d, "events"), "event_type", F.col("value"))
-    return ex.stopping(stats, min_n=1, max_days=14, days=20, p_value=0.2)
+    """Whether an experiment on the events' kinds may stop: by its size, its days, and the test of views against clicks."""
+    events = table(spark, d, "events")
+    m = ex.moments(events, "event_type", "value")
+    days = events.select(F.date_diff(F.to_date(F.max("ts")), F.to_date(F.min("ts")))).first()[0] or 0
+    return ex.stopping(ex.variant_stats(events, "event_type", F.col("value")), min_n=100, max_days=60, days=days, p_value=ex.t_test(m["view"], m["click"])["p_value"])
 
 
 # ---------------------------------------------------------------- feature store
@@ -496,10 +546,10 @@ def cls_wf_recurring(spark: SparkSession, d: str) -> DataFrame:
     return wf.recurring(runs(spark, d), "ts")
 
 
-@REG.query("SELECT event_type AS key, count(*) FILTER (WHERE user_id % 3 = 0) AS r0, count(*) FILTER (WHERE user_id % 3 = 1) AS r1 FROM events GROUP BY 1")
+@REG.query("SELECT event_type AS key, count(*) FILTER (WHERE user_id % 3 = 0) AS r0, count(*) FILTER (WHERE user_id % 3 = 1) AS r1, count(*) FILTER (WHERE user_id % 3 = 2) AS r2 FROM events GROUP BY 1")
 def agg_run_compare(spark: SparkSession, d: str) -> DataFrame:
     values = table(spark, d, "events").groupBy(F.col("event_type").alias("key"), F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("run")).agg(F.count(F.lit(1)).alias("value"))
-    return wf.compare_runs(values, ["r0", "r1"])
+    return wf.compare_runs(values, ["r0", "r1", "r2"])
 
 
 @REG.query("SELECT name, count(*) AS executions, round(count(*) FILTER (WHERE ok) * 100.0 / count(*), 4)::DOUBLE AS success_rate, round(avg(ms), 4) AS avg_ms, min(ms) AS min_ms, max(ms) AS max_ms FROM (SELECT event_type AS name, value AS ms, value < 50 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 1000 GROUP BY 1")

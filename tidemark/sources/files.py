@@ -7,6 +7,7 @@ import os
 import urllib.request
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
@@ -52,6 +53,21 @@ def read_transactions(spark: SparkSession, path: str, jail: str | None = None, l
     return out.limit(limit) if limit is not None else out
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """One JSON array a file; nulls are left out of its records. A part without rows is an empty array."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = "["
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if texts:
+                yield pa.RecordBatch.from_pydict({"value": [(start if i == 0 else ",") + t for i, t in enumerate(texts)]})
+                start = ","
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if start == "[" else "]"]})
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(lines, "value string").write.text(path)
+
+
 def with_times(raw: DataFrame) -> DataFrame:
     """Transactions with naive UTC times from ISO texts; texts without zone are taken as they are."""
 
