@@ -38,6 +38,8 @@ HEADING = re.compile(r"#{1,6}(?:[ \t]|\Z)")
 ITEM = re.compile(r"(?:[-*+•‣–]|\d{1,4}[.)]|\(?[a-zA-Z0-9]{1,2}\)|[a-z]\.)[ \t]+(?=\S)")
 BULLET = re.compile(r"[-*+•‣][ \t]+(?=\S)")
 DIRECTIVE = re.compile(r"\.\.[ \t]|\.\.\Z|:\w+:[ \t]")
+#: Directives whose body is prose, and the labels of footnotes and citations.
+PROSE_DIRECTIVE = re.compile(r"\.\.[ \t]+(?:\[[#*\w.-]+\][ \t]+|(?:note|warning|tip|important|caution|attention|danger|error|hint|seealso|admonition|versionadded|versionchanged|deprecated|todo|epigraph|topic)::[ \t]*)", re.I)
 HAS_WORD = re.compile(r"[^\W_]")
 
 COMMENTS = {
@@ -205,7 +207,12 @@ def _blocks(lines: list[tuple[int, int]], text: str, markup: bool) -> list[Piece
                 continue
             if c == "." and text.startswith("..", a) and DIRECTIVE.match(text[a:b]):
                 flush()
-                skip_indent, fresh = a - a0, True
+                fresh = True
+                if not (m := PROSE_DIRECTIVE.match(text[a:b])):
+                    skip_indent = a - a0
+                elif a + m.end() < b:
+                    now.append((a + m.end(), b))
+                    fresh = False
                 continue
             if c == "<" and text.startswith("<!--", a):
                 pass

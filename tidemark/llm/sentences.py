@@ -1,8 +1,9 @@
 """Sentence units by semi-Markov dynamic programming over whole spans.
 
-Candidate ends are the marks and (in Thai) spaces at which a sentence may end. A segmentation of a paragraph is
-scored by its spans: the closing word and the opening word at each cut, the span's length, and whether quotation
-marks and brackets are balanced within it. The best sum over all segmentations wins.
+Candidate ends are all marks that white space or a wide script follows, and (in Thai) spaces. A segmentation of a
+paragraph is scored by its spans: the closing word and the opening word at each cut, the span's length, and whether
+quotation marks and brackets are balanced within it. The best sum over all segmentations wins; nothing but a score
+forbids a cut.
 """
 
 from __future__ import annotations
@@ -38,9 +39,15 @@ CLOSERS = r"""["'”’“»)\]}」』）】〉》*_]"""
 MARK = re.compile(rf"(?:[.!?…。！？।॥؟．｡]+)(?:[ \u00a0\u202f]?»|{CLOSERS})*|(?<=[\u0e01-\u0e5b]) +(?=[\u0e01-\u0e5b])")
 PAIRS = re.compile(r"""["“”„«»‟「」『』()\[\]（）【】`]""")
 OPEN, CLOSE = dict(zip("«「『([（【", "»」』)]）】")), dict(zip("»」』)]）】", "«「『([（【"))
-WORD_BEFORE = re.compile(r"[^\s(\[{\"“„«»（「『”’`]+\Z")
+WORD_STARTS = frozenset(" \t\n\r\f\v\u00a0\u202f\u3000\u2003\u2009([{\"“„«»（「『”’`")
+#: Abbreviations that are also words, which end a sentence where neither a number nor a small letter follows.
+ALSO_WORDS = frozenset("no art ver".split())
+#: What a cut loses: after a word or before a sign that calls for more; after dots of omission in a running sentence.
+CALLS_FOR_MORE, RUNS_ON = -10.0, -10.0
 CODE_LIKE = re.compile(r"`|[A-Za-z]\w*(?:[._]\w+)+|[a-z]+\w*[A-Z]\w*|\w+\(|https?://|--?\w")
 CUT, UNBALANCED = 3.0, -4.5
+#: What a span loses for each character above 400, and the most that a bracket at its end can take away.
+PER_CHARACTER, BRACKET = 0.001, 6.0
 QUOTES = re.compile(r'["“”„«»‟「」『』‘’]')
 STOPS = ".。．｡।॥"
 QUOTE_OF = {"”": "“„", "‟": "“„", "»": "«", "」": "「", "』": "『", "’": "‘"}
@@ -74,40 +81,58 @@ def _script(c: str) -> str:
     return "other"
 
 
-def _closing(text: str, at: int, marks: str) -> float | None:
-    """How well the word before a mark closes a sentence; None if it can't."""
+def _word_before(text: str, at: int) -> int:
+    """Where the word that ends at ``at`` starts."""
+    i = at
+    while i > 0 and text[i - 1] not in WORD_STARTS and not text[i - 1].isspace():
+        i -= 1
+    return i
+
+
+def _closing(text: str, at: int, marks: str, follows: str) -> float:
+    """How well the word before a mark closes a sentence, before the character that ``follows``."""
     if marks[0] != "." or len(marks) > 1:
         return 0.0
-    m = WORD_BEFORE.search(text, max(0, at - 48), at)
-    if not m:
+    start = _word_before(text, at)
+    if start == at:
         return 0.0
-    word = m.group()
+    word = text[start:at]
     last = word[-1]
     script = _script(last)
     if script in ("thai", "deva"):
-        return None
+        return CALLS_FOR_MORE
     low = word.lower().rstrip(",;")
-    if low in NEVER and not (word.islower() and len(word) == 1 and _after_number(text, m.start())) or word in NEVER_AS_WRITTEN:
-        if low == "m" and re.search(r"(?<!\w)[ap]\.\s*\Z", text[max(0, m.start() - 5) : m.start()]):
+    if low in NEVER and not (word.islower() and len(word) == 1 and _after_number(text, start)) or word in NEVER_AS_WRITTEN:
+        if low == "m" and _half_day(text, start):
             return -1.0
-        return None
+        return -0.5 if word in ALSO_WORDS and follows.isupper() else CALLS_FOR_MORE
     if low in SOMETIMES:
         return -1.0
     if "." in low and re.fullmatch(r"(?:\w{1,3}\.)+\w{1,3}", low) and not low.replace(".", "").isdigit() and not re.match(r"v?\d", low):
         return -1.0
     if len(word) == 1 and word.isalpha() and script != "cjk":
-        if low == "m" and re.search(r"(?<!\w)[ap]\.\s*\Z", text[max(0, m.start() - 5) : m.start()]):
+        if low == "m" and _half_day(text, start):
             return -1.0
-        if _after_number(text, m.start()):
+        if _after_number(text, start):
             return -1.0 if script == "cased" and ord(last) >= 0x400 else -0.5
-        return None
+        return CALLS_FOR_MORE
     if word.isdigit() and len(word) < 3:
-        before = WORD_BEFORE.search(text[max(0, m.start() - 20) : m.start()].rstrip())
-        if before and before.group().lower() in ORDINAL_BEFORE:
-            return None
+        end = start
+        while end > 0 and text[end - 1].isspace():
+            end -= 1
+        if text[_word_before(text, end) : end].lower() in ORDINAL_BEFORE:
+            return CALLS_FOR_MORE
     return 0.0
 
 
+def _half_day(text: str, at: int) -> bool:
+    """Whether "a." or "p." as a word stands before."""
+    i = at
+    while i > 0 and text[i - 1].isspace():
+        i -= 1
+    return i > 1 and text[i - 1] == "." and text[i - 2] in "ap" and not (i > 2 and (text[i - 3].isalnum() or text[i - 3] == "_"))
+
+
 def _after_number(text: str, at: int) -> bool:
     i = at - 1
     while i >= 0 and text[i] in " \u00a0\u202f\n":
@@ -183,20 +208,16 @@ def _cuts(text: str) -> list[tuple[int, float, int]]:
             continue
         tail = body[len(marks) :].strip()
         closed = 0 if not tail else 2 if tail[-1] in "\"'”’“»」』" else 1 if tail[-1] in ")]}）】〉》" else 0
-        score = _closing(text, m.start(), marks)
-        if score is None:
-            continue
         c = text[i]
         k = i
         while k < n - 1 and text[k] in "\"'“„«¿¡([（「『*_ ":
             k += 1
         d = text[k]
+        score = _closing(text, m.start(), marks, d)
         if marks[0] == "…" or marks.startswith(".."):
-            if not (d.isupper() or c in "¿¡"):
-                continue
-            score -= 0.5
+            score += -0.5 if d.isupper() or c in "¿¡" else RUNS_ON
         if c in ",;:)]}»”、，；：)）」』" or c in "-–—" and d not in "`":
-            continue
+            score += CALLS_FOR_MORE
         script = _script(d)
         if d.islower() and not wide:
             code = CODE_LIKE.match(text, k)
@@ -206,11 +227,9 @@ def _cuts(text: str) -> list[tuple[int, float, int]]:
             elif closed == 2:
                 openers = _openers(text) if openers is None else openers
                 quoted = _after_quotation(text, openers.get(_last_quote(text, e), -1), marks[-1] in STOPS, k)
-                if quoted < 0 and not code:
-                    continue
-                score += quoted
+                score += quoted if quoted >= 0 or code else quoted + RUNS_ON
             if score < -1 and not code:  # an abbreviation in a running sentence
-                continue
+                score += RUNS_ON
         elif d.isdigit():
             if score <= -1:
                 score -= 0.5
@@ -266,7 +285,6 @@ def split(text: str) -> list[tuple[int, int]]:
     """The (start, end) of each unit of a paragraph."""
     n = len(text.rstrip())
     cuts = [c for c in _cuts(text) if c[0] < n]
-    first = n - len(text[:n].lstrip())
     first = len(text) - len(text.lstrip())
     if not cuts:
         return [(first, n)] if n > first else []
@@ -279,7 +297,12 @@ def split(text: str) -> list[tuple[int, int]]:
         starts.append(e)
     places, scores = [*ends, n], [*(c[1] for c in cuts), 0.0]
     flags = [*(c[2] for c in cuts), 0]
-    best, back = [0.0], [0]
+    # Starts from which a span may still begin, and the best of all up to each. A start with an earlier one that is ahead
+    # by more than a span can lose by its length, its bracket and (unless the balance is the same) its balance is left out:
+    # the earlier one gives more to every later end.
+    best, back, alive, most = [0.0], [0], [0], [0.0]
+    worth = lambda i: best[i] + PER_CHARACTER * starts[i]
+    ahead, first_of_all = {levels[0]: worth(0)}, worth(0)
     for j in range(1, len(places) + 1):
         top, arg = -1e18, 0
         e, level, flag = places[j - 1], levels[j], flags[j - 1]
@@ -289,7 +312,8 @@ def split(text: str) -> list[tuple[int, int]]:
             while i >= 0 and i not in partner and text[i] in "\"'”’“»)]}」』）】〉》*_ ":
                 i -= 1
             opener = partner.get(i, -1)
-        for i in range(j - 1, -1, -1):
+        for k in range(len(alive) - 1, -1, -1):
+            i = alive[k]
             s = best[i] + scores[j - 1]
             if level != levels[i]:
                 s += UNBALANCED
@@ -297,7 +321,7 @@ def split(text: str) -> list[tuple[int, int]]:
             if length < 4:
                 s -= 0.5
             elif length > 400:
-                s -= 0.001 * (length - 400)
+                s -= PER_CHARACTER * (length - 400)
             if flag == 1 and opener != starts[i]:
                 s -= 2.0 if opener >= starts[i] else 0.0
                 if opener > starts[i] and j <= len(ends) and _script(text[min(starts[j], n - 1)]) != "cased":
@@ -306,9 +330,14 @@ def split(text: str) -> list[tuple[int, int]]:
                 s -= 6.0
             if s > top:
                 top, arg = s, i
-            if best[i] + 40 < top and j - i > 64:  # so far behind that no longer span can win
+            # all else that a span is scored by takes points away, so this bounds every longer span
+            if k and most[k - 1] + scores[j - 1] - max(0.0, PER_CHARACTER * (e - starts[alive[k - 1]] - 400)) < top:
                 break
         best.append(top)
+        if j < len(starts) and worth(j) + BRACKET + 0.5 >= max(ahead.get(level, -1e18), first_of_all + UNBALANCED):
+            alive.append(j)
+            most.append(max(most[-1], top))
+            ahead[level], first_of_all = max(ahead.get(level, -1e18), worth(j)), max(first_of_all, worth(j))
         back.append(arg)
     out, j = [], len(places)
     while j:
