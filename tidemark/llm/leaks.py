@@ -87,6 +87,10 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
+#: A stretch without white space that isn't ASCII throughout.
+NOT_ASCII = re.compile(r"[^ \t\r\n\x80-\U0010ffff]*[^\x00-\x7f][^ \t\r\n]*")
+
+
 class Placed:
     """A reading of a text that knows, of each character, the place [start, end) in the text that it stands for."""
 
@@ -96,11 +100,12 @@ class Placed:
         self.end = self.start + 1 if end is None else end
 
     def of(self, parts: list[tuple[int, int, str | None]]) -> Placed:
-        """A reading of parts [a, b): kept as they are (None) or replaced by a text, which then stands for all of the part."""
+        """A reading of parts [a, b): kept as they are (None) or replaced by a text, which then stands for all of the part, or
+        character by character where it is as long."""
         texts, starts, ends = [], [], []
         for a, b, new in parts:
-            if new is None:
-                texts.append(self.text[a:b])
+            if new is None or len(new) == b - a:
+                texts.append(self.text[a:b] if new is None else new)
                 starts.append(self.start[a:b])
                 ends.append(self.end[a:b])
             elif new and b > a:
@@ -122,16 +127,18 @@ class Placed:
         character with its marks where that gives the same."""
         if self.text.isascii():
             return Placed(self.text.lower(), self.start, self.end)
-        parts = []
-        for m in re.finditer(r"[ \t\r\n]+|[^ \t\r\n]+", self.text):
+        parts, at = [], 0
+        for m in NOT_ASCII.finditer(self.text):
             a, b, whole = m.start(), m.end(), fold(m.group())
+            parts.append((at, a, self.text[at:a].lower()))
+            at = b
             if whole == m.group():
                 parts.append((a, b, None))
                 continue
             heads = [i for i in range(a, b) if i == a or not unicodedata.combining(self.text[i]) and KINDS[ord(self.text[i])] != 2] + [b]
             each = [(x, y, fold(self.text[x:y])) for x, y in zip(heads, heads[1:])]
             parts += each if "".join(t for _, _, t in each) == whole else [(a, b, whole)]
-        return self.of(parts)
+        return self.of([*parts, (at, len(self.text), self.text[at:].lower())])
 
 
 class _Plain(str):
@@ -149,30 +156,31 @@ class _Plain(str):
 
 def _readings(whole):
     """A text's readings: as it is, and with string escapes, entities and markup taken away where it has any."""
-    out = [whole]
-    for _ in range(2):  # escapes may be doubled
-        if "\\" in out[-1].text:
-            out.append(out[-1].sub(ESCAPE, _unescape))
-    return [r for reading in out for r in (reading, *_bare(reading))]
+    reading = whole
+    for again in (True, True, False):  # escapes may be doubled
+        yield reading
+        yield from _bare(reading)
+        if not again or "\\" not in reading.text:
+            return
+        reading = reading.sub(ESCAPE, _unescape)
 
 
 def _bare(reading, again: bool = True):
     """A reading without its entities, and without its tags: as if they weren't there, as spaces, or each as it is used. A comment
     goes wholly in one reading and leaves its words in another."""
-    s, out, decoded = reading.text, [], None
+    s, decoded = reading.text, None
     if "&" in s and ENTITY.search(s):
         decoded = reading.sub(REFERENCE, _reference)
-        out.append(decoded)
+        yield decoded
     if "<" in s:
         commented = "<!--" in s
         if commented or TAG.search(s):
             for r in (reading.sub(COMMENT, " "), reading.sub(COMMENT_MARKS, " ")) if commented else (reading,):
                 for new in ("", " ", _tag):
                     bare = r.sub(TAG, new)
-                    out.append(bare.sub(REFERENCE, _reference) if decoded is not None else bare)
+                    yield bare.sub(REFERENCE, _reference) if decoded is not None else bare
     if again and decoded is not None and "<" in decoded.text:  # markup that was itself written in entities
-        out += _bare(decoded, False)
-    return out
+        yield from _bare(decoded, False)
 
 
 def variants(text: str) -> list[str]:
