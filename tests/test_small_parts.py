@@ -110,3 +110,87 @@ def test_hot_keys_by_broadcast_and_by_shuffle(spark):
     for most in (100, 0):
         assert sorted(tuple(r) for r in hot_keys(df, ["k"], 2, most=most).collect()) == [("a", 4), ("b", 2)]
     assert hot_keys(df, ["k"], 50).count() == 0
+
+
+def test_effective_size_of_known_chains():
+    import numpy as np
+
+    from tidemark.operators.models import effective_size
+
+    rng = np.random.default_rng(3)
+    independent = [rng.normal(size=4000) for _ in range(4)]
+    assert 0.85 < effective_size(independent) / 16_000 < 1.2
+    slow = []
+    for _ in range(4):
+        x, e = np.zeros(8000), rng.normal(size=8000)
+        for i in range(1, 8000):
+            x[i] = 0.9 * x[i - 1] + e[i]
+        slow.append(x)
+    assert 0.7 < effective_size(slow) / (32_000 * 0.1 / 1.9) < 1.4  # (1 - a) / (1 + a) of an autoregression
+    assert effective_size([np.ones(100)] * 2) == 200 and np.isnan(effective_size([np.ones(3)]))
+
+
+def test_tasks_wait_for_resources_and_results_are_checked():
+    import threading
+    import time
+
+    from tidemark.operators.workflow import Dag, Pool, Task
+
+    running, most, lock = [0], [0], threading.Lock()
+
+    def work(_):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.02)
+        with lock:
+            running[0] -= 1
+        return 1
+
+    dag = Dag()
+    for i in range(6):
+        dag.add(Task(f"t{i}", work, cpu=2, memory=1))
+    dag.add(Task("large", work, cpu=9)).add(Task("odd", work, valid=lambda r: r == 2)).add(Task("good", work, valid=lambda r: r == 1, cpu=1))
+    state = dag.execute(workers=9, sleep=lambda s: None, pool=Pool(cpu=4, memory=3))
+    assert most[0] <= 4 and state["large"] == state["odd"] == "failed" and state["good"] == state["t5"] == "succeeded"
+
+
+def test_sources_are_fetched_side_by_side(spark):
+    import time
+
+    from tidemark.operators.federate import FederatedQuery
+
+    tries = []
+
+    def slow(n):
+        def get():
+            time.sleep(0.5)
+            return spark.range(n)
+
+        return get
+
+    def bad():
+        tries.append(1)
+        raise OSError("away")
+
+    q = FederatedQuery({"a": (1, slow(1)), "b": (9, slow(2)), "c": (5, slow(3)), "x": (0, bad)}, retries=1, wait=0.01)
+    began = time.time()
+    got = q.fetch()
+    assert time.time() - began < 1.4 and list(got) == ["a", "b", "c"] and len(tries) == 2 and q.errors == {"x": "OSError: away"}
+    failing = spark.range(3).selectExpr("raise_error('broken') as v")
+    q = FederatedQuery({"a": (1, lambda: spark.range(4)), "b": (1, lambda: failing)}, retries=0)
+    assert [d.count() for d in q.fetch(execute=True).values()] == [4] and "broken" in q.errors["b"]
+
+
+def test_reports(spark):
+    import json
+
+    from tidemark.sources.sinks import report
+
+    df = spark.createDataFrame([(1, "a<b,"), (2, None)], "k int, t string")
+    assert report(df, "csv") == 'k,t\n1,"a<b,"\n2,\n' and json.loads(report(df, "json"))["rows"] == [{"k": 1, "t": "a<b,"}, {"k": 2, "t": None}]
+    assert "<td>a&lt;b,</td>" in report(df, "html")
+    import pytest
+
+    with pytest.raises(ValueError):
+        report(df, "pdf")

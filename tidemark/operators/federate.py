@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 
 def last_per_key(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     """The row with the greatest ordinal of each key; null keys are keys like others."""
@@ -51,8 +54,9 @@ def federated_merge(sources: list[DataFrame], keys: list[str], aggregates: dict[
 
 @dataclass
 class FederatedQuery:
-    """Sources by name: (priority, a function that gives the DataFrame). A failing source is tried again after 1, 2, 4 ...
-    times ``wait`` seconds; its error is kept and the others are combined."""
+    """Sources by name: (priority, a function that gives the DataFrame). Sources are fetched side by side, the first by priority
+    first. A failing source is tried again after 1, 2, 4 ... times ``wait`` seconds; its error is kept and the others are
+    combined."""
 
     sources: dict[str, tuple[int, Callable[[], DataFrame]]]
     retries: int = 2
@@ -62,18 +66,25 @@ class FederatedQuery:
     def execution_order(self) -> list[str]:
         return sorted(self.sources, key=lambda n: (-self.sources[n][0], n))
 
-    def fetch(self) -> dict[str, DataFrame]:
-        out = {}
-        for name in self.sources:
+    def fetch(self, workers: int = 8, execute: bool = False) -> dict[str, DataFrame]:
+        """The sources that answered, in the order in which they were given. With ``execute`` each is also run and its rows
+        stored, so that an error on the way counts as the source's own and is tried again."""
+
+        def one(name: str) -> DataFrame | None:
             for k in range(self.retries + 1):
                 try:
                     df = self.sources[name][1]()
                     _ = df.schema  # resolves the source now, so that its errors are its own
-                    out[name] = df
+                    df = stored(df) if execute else df
                     self.errors.pop(name, None)
-                    break
+                    return df
                 except Exception as e:
                     self.errors[name] = f"{type(e).__name__}: {e}"
                     if k < self.retries:
                         time.sleep(self.wait * 2**k)
-        return out
+            return None
+
+        with ThreadPoolExecutor(workers) as pool:
+            asked = {name: pool.submit(one, name) for name in self.execution_order()}
+        got = {name: f.result() for name, f in asked.items()}
+        return {name: got[name] for name in self.sources if got[name] is not None}

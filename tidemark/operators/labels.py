@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +153,12 @@ def markdown_table(df: DataFrame, most: int = 500) -> str:
     return "\n".join([line(df.columns), "|" + "---|" * len(df.columns), *(line(r) for r in rows)]) + "\n"
 
 
+def latest_of_cohorts(lens3_rows: DataFrame) -> DataFrame:
+    """Each cohort's last observed period, by cohort."""
+    cells = ["period_number", "period_start", "active_customers", "cohort_size", "cumulative_activation_rate", "revenue_per_member", "total_revenue"]
+    return lens3_rows.groupBy("cohort_id").agg(F.max(F.struct(*cells)).alias("r")).select("cohort_id", "r.*").orderBy("cohort_id")
+
+
 def audit_report(parts: dict[str, DataFrame]) -> str:
     """The views' summaries as one Markdown text."""
     return "# Customer-base audit\n\n" + "\n".join(f"## {title}\n\n{markdown_table(df)}" for title, df in parts.items())

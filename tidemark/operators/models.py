@@ -251,16 +251,43 @@ def horizon_days(months: int) -> float:
     return months * 365.25 / 12
 
 
+def effective_size(chains: list[np.ndarray]) -> float:
+    """The effective sample size of chains of draws by the autocorrelation at all lags: chains are split in halves, sums of
+    two neighbouring lags count as long as they are positive and never grow, and the size is at most n log10 n."""
+    n = min(len(c) for c in chains) // 2
+    if n < 4:
+        return float("nan")
+    halves = np.array([h for c in chains for h in (c[:n], c[len(c) - n :])], float)
+    centred = halves - halves.mean(1, keepdims=True)
+    spectrum = np.fft.rfft(centred, 1 << (2 * n - 1).bit_length())
+    cov = np.fft.irfft(np.abs(spectrum) ** 2)[:, :n].mean(0) / n
+    within = cov[0] * n / (n - 1)
+    total = within * (n - 1) / n + halves.mean(1).var(ddof=1)
+    if total <= 0:
+        return float(halves.size)
+    rho = 1 - (within - cov * n / (n - 1)) / total
+    rho[0] = 1.0
+    pairs = rho[: n // 2 * 2].reshape(-1, 2).sum(1)
+    stop = int(np.argmax(pairs <= 0)) if (pairs <= 0).any() else len(pairs)
+    tau = -1 + 2 * np.minimum.accumulate(pairs[:stop]).sum()
+    return float(min(halves.size / max(tau, 1e-300), halves.size * math.log10(halves.size)))
+
+
 def mcmc_diagnostics(draws: DataFrame) -> DataFrame:
-    """(parameter, r_hat, ess, ok) from draws (parameter, chain, draw, value): split-free potential scale reduction (at most
-    1.1) and the effective sample size from lag-1 autocorrelation (at least 400)."""
-    lagged = draws.withColumn("next", F.lead("value").over(Window.partitionBy("parameter", "chain").orderBy("draw")))
-    chains = lagged.groupBy("parameter", "chain").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.coalesce(F.corr("value", "next"), F.lit(0.0)).alias("rho"))
-    per = chains.groupBy("parameter").agg(F.avg("n").alias("n"), F.count(F.lit(1)).alias("k"), F.var_samp("m").alias("b"), F.avg("v").alias("w"), F.avg("rho").alias("rho"))
+    """(parameter, r_hat, ess, ok) from draws (parameter, chain, draw, value): the potential scale reduction (at most 1.1) and the
+    effective sample size by ``effective_size`` (at least 400). A parameter's draws, which a sampler keeps few, meet in one task
+    for their autocorrelation; null values are left out."""
+    chains = draws.groupBy("parameter", "chain").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
+    per = chains.groupBy("parameter").agg(F.avg("n").alias("n"), F.var_samp("m").alias("b"), F.avg("v").alias("w"))
     n = F.col("n")
     r_hat = F.sqrt(((n - 1) / n * F.col("w") + F.coalesce("b", F.lit(0.0))) / F.nullif(F.col("w"), F.lit(0.0)))
-    ess = n * F.col("k") * (1 - F.greatest("rho", F.lit(0.0))) / (1 + F.greatest("rho", F.lit(0.0)))
-    return per.select("parameter", r_hat.alias("r_hat"), ess.alias("ess"), ((r_hat <= 1.1) & (ess >= 400)).alias("ok"))
+
+    def size(rows: pd.DataFrame) -> pd.DataFrame:
+        own = [g.sort_values("draw")["value"].to_numpy(float) for _, g in rows.groupby("chain")]
+        return pd.DataFrame({"parameter": rows["parameter"].iloc[:1], "ess": [effective_size(own)]})
+
+    ess = draws.filter("value is not null").select("parameter", "chain", "draw", F.col("value").cast("double").alias("value")).groupBy("parameter").applyInPandas(size, "parameter string, ess double")
+    return per.join(ess, "parameter").select("parameter", r_hat.alias("r_hat"), "ess", ((r_hat <= 1.1) & (F.col("ess") >= 400)).alias("ok"))
 
 
 def posterior_checks(draws: DataFrame, observed: DataFrame) -> DataFrame:

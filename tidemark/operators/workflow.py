@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
+import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +43,31 @@ class Task:
     retries: int = 0
     delay: Callable[[int], float] = delay_exponential
     skip_if: Callable[[dict], bool] | None = None
+    valid: Callable[[object], bool] | None = None
+    cpu: float = 1.0
+    memory: float = 0.0
+
+
+class Pool:
+    """Processors and memory that tasks take while they run; who finds too little waits."""
+
+    def __init__(self, cpu: float = math.inf, memory: float = math.inf):
+        self.cpu, self.memory, self.free = cpu, memory, [cpu, memory]
+        self.change = threading.Condition()
+
+    @contextmanager
+    def taken(self, task: Task) -> Iterator[None]:
+        if task.cpu > self.cpu or task.memory > self.memory:
+            raise ValueError(f"{task.name} needs more than the pool has")
+        with self.change:
+            self.change.wait_for(lambda: self.free[0] >= task.cpu and self.free[1] >= task.memory)
+            self.free = [self.free[0] - task.cpu, self.free[1] - task.memory]
+        try:
+            yield
+        finally:
+            with self.change:
+                self.free = [self.free[0] + task.cpu, self.free[1] + task.memory]
+                self.change.notify_all()
 
 
 @dataclass
@@ -67,8 +95,10 @@ class Dag:
             left = {n: s - set(ready) for n, s in left.items() if n not in ready}
         return out
 
-    def execute(self, workers: int = 4, sleep: Callable[[float], None] = time.sleep) -> dict[str, str]:
-        """Runs the waves; states are succeeded, failed, skipped or upstream_failed, so a failure never hangs the run."""
+    def execute(self, workers: int = 4, sleep: Callable[[float], None] = time.sleep, pool: Pool | None = None) -> dict[str, str]:
+        """Runs the waves; states are succeeded, failed, skipped or upstream_failed, so a failure never hangs the run. A result
+        that ``valid`` refuses is a failure, and so is a task that needs more than the ``pool`` of resources has."""
+        resources = pool or Pool()
         results: dict[str, object] = {}
         state: dict[str, str] = {}
 
@@ -79,7 +109,10 @@ class Dag:
                 return "skipped"
             for n in range(1, task.retries + 2):
                 try:
-                    results[task.name] = task.run(results)
+                    with resources.taken(task):
+                        results[task.name] = task.run(results)
+                    if task.valid and not task.valid(results[task.name]):
+                        raise ValueError(f"{task.name} gave a result that isn't valid")
                     return "succeeded"
                 except Exception as e:
                     results[task.name] = e
@@ -87,9 +120,9 @@ class Dag:
                         sleep(task.delay(n))
             return "failed"
 
-        with ThreadPoolExecutor(workers) as pool:
+        with ThreadPoolExecutor(workers) as threads:
             for wave in self.waves():
-                for name, outcome in zip(wave, pool.map(attempt, [self.tasks[n] for n in wave])):
+                for name, outcome in zip(wave, threads.map(attempt, [self.tasks[n] for n in wave])):
                     state[name] = outcome
         return state
 

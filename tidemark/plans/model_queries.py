@@ -83,8 +83,13 @@ def _draws(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.lit("value").alias("parameter"), (F.col("event_id") % 4).alias("chain"), F.col("event_id").alias("draw"), "value", (F.col("event_id") % 50).alias("obs_id"))
 
 
-@REG.query("""WITH e AS (SELECT event_id % 4 AS chain, event_id AS draw, value, lead(value) OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS nx FROM events), c AS (SELECT chain, count(value) AS n, avg(value) AS m, var_samp(value) AS v, coalesce(corr(value, nx), 0) AS rho FROM e GROUP BY 1),
-p AS (SELECT avg(n) AS n, count(*) AS k, var_samp(m) AS b, avg(v) AS w, avg(rho) AS rho FROM c) SELECT 'value' AS parameter, round(sqrt(((n - 1) / n * w + coalesce(b, 0)) / w), 6) AS r_hat, round(n * k * (1 - greatest(rho, 0)) / (1 + greatest(rho, 0)), 2) AS ess, true AS ok FROM p""")
+@REG.query("""WITH c AS (SELECT event_id % 4 AS chain, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1), p AS (SELECT avg(n) AS n, var_samp(m) AS b, avg(v) AS w, min(n) // 2 AS half FROM c),
+r AS (SELECT event_id % 4 AS chain, value, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_id % 4) AS n FROM events WHERE value IS NOT NULL),
+h AS (SELECT chain, k <= half AS front, CASE WHEN k <= half THEN k ELSE k - (r.n - half) END AS i, value, half FROM r, p WHERE k <= half OR k > r.n - half), d AS (SELECT *, value - avg(value) OVER (PARTITION BY chain, front) AS x FROM h),
+l AS (SELECT lag, sum(a.x * b.x) / any_value(a.half) / 8 AS cov FROM d a JOIN d b ON a.chain = b.chain AND a.front = b.front JOIN (SELECT unnest(range(0, 40)) AS lag) ON b.i = a.i + lag GROUP BY 1),
+w AS (SELECT any_value(half) AS half, (SELECT cov FROM l WHERE lag = 0) * any_value(half) / (any_value(half) - 1) AS within, var_samp(m) AS between FROM (SELECT chain, front, any_value(half) AS half, avg(value) AS m FROM h GROUP BY 1, 2)),
+g AS (SELECT lag // 2 AS pair, sum(CASE WHEN lag = 0 THEN 1 ELSE 1 - (within - cov * half / (half - 1)) / (within * (half - 1) / half + between) END) AS s FROM l, w GROUP BY 1), f AS (SELECT coalesce(min(pair) FILTER (WHERE s <= 0), 20) AS stop FROM g),
+t AS (SELECT -1 + 2 * sum(s) AS tau FROM (SELECT min(s) OVER (ORDER BY pair) AS s FROM g, f WHERE pair < stop)) SELECT 'value' AS parameter, round(sqrt(((n - 1) / n * p.w + coalesce(b, 0)) / p.w), 6) AS r_hat, round(least(8 * p.half / tau, 8 * p.half * log10(8 * p.half)), 2) AS ess, true AS ok FROM p, t""")
 def ml_mcmc_diag(spark: SparkSession, d: str) -> DataFrame:
     return mo.mcmc_diagnostics(_draws(spark, d)).withColumns({"r_hat": F.round("r_hat", 6), "ess": F.round("ess", 2)})
 
@@ -301,7 +306,7 @@ def cls_model_drift(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.query()
 def snk_lenses_md(spark: SparkSession, d: str) -> DataFrame:
-    text = la.audit_report({"Single period": _lens1(spark, d), "Overall health": au.agg_lens5(spark, d)})
+    text = la.audit_report({"Single period": _lens1(spark, d), "Two periods": au.agg_lens2(spark, d), "Evolution of cohorts": la.latest_of_cohorts(au.agg_lens3(spark, d)), "Comparison of cohorts": au.agg_cohort_summary(spark, d).orderBy("cohort_id"), "Overall health": au.agg_lens5(spark, d)})
     return spark.createDataFrame([(i, s) for i, s in enumerate(text.split("\n"))], "line int, text string")
 
 

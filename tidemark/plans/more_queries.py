@@ -196,3 +196,13 @@ def snk_summaries(spark: SparkSession, d: str) -> DataFrame:
 def snk_tables_md(spark: SparkSession, d: str) -> DataFrame:
     parts = {"lens1": au.agg_lens1(spark, d), "lens2": au.agg_lens2(spark, d), "lens4": au.agg_cohort_summary(spark, d), "lens5": au.agg_lens5(spark, d)}
     return spark.createDataFrame([(k, markdown_table(v)) for k, v in parts.items()], "view string, text string")
+
+
+@REG.query("""WITH c AS (SELECT n_nationkey AS k, n_name AS n FROM nation)
+SELECT 'csv' AS kind, 'n_nationkey,n_name' || chr(10) || string_agg(k || ',' || n || chr(10), '' ORDER BY k) AS text FROM c UNION ALL
+SELECT 'html', '<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8"><title>Nations</title></head>' || chr(10) || '<body><h1>Nations</h1>' || chr(10) || '<table>' || chr(10) || '<tr><th>n_nationkey</th><th>n_name</th></tr>' || chr(10) || string_agg('<tr><td>' || k || '</td><td>' || n || '</td></tr>', chr(10) ORDER BY k) || chr(10) || '</table></body></html>' || chr(10) FROM c UNION ALL
+SELECT 'json', '{' || chr(10) || '  "title": "Nations",' || chr(10) || '  "columns": [' || chr(10) || '    "n_nationkey",' || chr(10) || '    "n_name"' || chr(10) || '  ],' || chr(10) || '  "rows": [' || chr(10) || string_agg('    {' || chr(10) || '      "n_nationkey": ' || k || ',' || chr(10) || '      "n_name": "' || n || '"' || chr(10) || '    }', ',' || chr(10) ORDER BY k) || chr(10) || '  ]' || chr(10) || '}' FROM c""")
+def snk_report(spark: SparkSession, d: str) -> DataFrame:
+    """A table as a csv, a json and an html report."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey")
+    return spark.createDataFrame([(k, sinks.report(rows, k, "Nations")) for k in ("csv", "html", "json")], "kind string, text string")

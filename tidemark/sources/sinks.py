@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import html
 import io
 import json
 
@@ -38,6 +39,24 @@ def drift_markdown(results: DataFrame) -> str:
     return "\n".join([*lines, *(f"| {r['metric']} | {r['drift_score']:.4f} | {'yes' if r['drift_detected'] else 'no'} | {r['interpretation']} |" for r in rows)]) + "\n"
 
 
+def report(df: DataFrame, kind: str, title: str = "Report") -> str:
+    """A small result as the text of a csv, json or html report; another kind raises."""
+    rows = _rows(df)
+    if kind == "csv":
+        out = io.StringIO()
+        w = csv.DictWriter(out, df.columns, lineterminator="\n")
+        w.writeheader()
+        w.writerows(rows)
+        return out.getvalue()
+    if kind == "json":
+        return json.dumps({"title": title, "columns": df.columns, "rows": rows}, indent=2, default=str)
+    if kind == "html":
+        cells = lambda values, tag: "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in values)
+        body = "\n".join(f"<tr>{cells(r.values(), 'td')}</tr>" for r in rows)
+        return f"<!DOCTYPE html>\n<html><head><meta charset=\"utf-8\"><title>{html.escape(title)}</title></head>\n<body><h1>{html.escape(title)}</h1>\n<table>\n<tr>{cells(df.columns, 'th')}</tr>\n{body}\n</table></body></html>\n"
+    raise ValueError(f"no report of kind {kind}")
+
+
 def write_single_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header, for results small enough for one task."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
