@@ -42,3 +42,19 @@ def test_newton_ends_at_a_bound():
 
     got = _newton(losses, np.array([0.0, 0.0]), np.array([7.0, 7.0]))
     assert got == pytest.approx([1.5, 7.0], abs=1e-6) and len(calls) < 40
+
+
+def test_chains_lie_around_the_fit(spark):
+    from tidemark.operators.models import mcmc_diagnostics, sample_gamma_gamma
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(2, 40, 2000)
+    m = [float(rng.gamma(6.0 * k, 1 / v) / k) for k, v in zip(x, rng.gamma(4.0, 1 / 15.0, 2000))]
+    df = spark.createDataFrame([(int(a), b) for a, b in zip(x, m)], "frequency bigint, monetary_value double")
+    draws, fit = sample_gamma_gamma(df, draws=400, chains=3).toPandas(), fit_gamma_gamma(df)
+    assert len(draws) == 3 * 400 * 3
+    for k in ("p", "q", "gamma"):
+        own = draws[draws.parameter == k].value
+        assert abs(own.mean() - getattr(fit, k)) < 3 * own.std() and own.std() < getattr(fit, k)
+    assert abs(draws[draws.parameter == "q"].value.mean() - 4) < 4 * draws[draws.parameter == "q"].value.std()
+    assert all(r["ok"] for r in mcmc_diagnostics(spark.createDataFrame(draws)).collect())

@@ -190,6 +190,52 @@ def fit_gamma_gamma(inputs: DataFrame, most: int = 200_000) -> GammaGamma:
     return GammaGamma(*_fit(stats, _gamma_gamma_terms, lambda x, m: [1.0, 1.0, math.log(m.mean())], np.array([14.0] * 3), most))
 
 
+#: Standard deviation of the normal prior of each parameter's logarithm.
+PRIOR = 3.0
+
+
+def _posterior_draws(stats: DataFrame, terms: Callable[..., np.ndarray], theta: np.ndarray, names: tuple[str, ...], draws: int, chains: int, seed: int, at_once: int = 250) -> DataFrame:
+    """(parameter, chain, draw, value): a Markov chain of independent proposals around the fit, with the fit's own curvature.
+
+    Proposals don't depend on the chains' states, so all are weighed first, many in one aggregate over the statistics, however
+    large their table; the chains then accept or refuse them on the driver.
+    """
+    k, n = len(theta), stats.agg(F.sum("n")).first()[0]
+    unit, h = np.eye(k), 1e-3
+    offsets = np.array([np.zeros(k), *(s * h * unit[i] + t * h * unit[j] for i in range(k) for j in range(k) for s in (1, -1) for t in (1, -1))])
+    f = _losses(stats, terms, theta + offsets) * n
+    four = f[1:].reshape(k, k, 2, 2)
+    curve = (four[:, :, 0, 0] - four[:, :, 0, 1] - four[:, :, 1, 0] + four[:, :, 1, 1]) / (4 * h * h) + np.eye(k) / PRIOR**2
+    values, vectors = np.linalg.eigh((curve + curve.T) / 2)
+    values = np.maximum(values, 1 / PRIOR**2)
+    rng, tail = np.random.default_rng(seed), 5
+    z = rng.standard_normal((chains, draws + 1, k)) / np.sqrt(rng.chisquare(tail, (chains, draws + 1, 1)) / tail)
+    points = theta + z @ (vectors * np.sqrt(1.2 / values)).T
+    flat = points.reshape(-1, k)
+    loss = np.concatenate([_losses(stats, terms, flat[i : i + at_once]) for i in range(0, len(flat), at_once)]) * n
+    weight = (-loss - (flat**2).sum(1) / (2 * PRIOR**2)).reshape(chains, draws + 1) + (tail + k) / 2 * np.log1p((z**2).sum(2) / tail)
+    weight = np.where(np.isfinite(weight), weight, -np.inf)
+    rows, chance = [], np.log(rng.random((chains, draws + 1)))
+    for c in range(chains):
+        at = 0
+        for i in range(1, draws + 1):
+            at = i if weight[c, i] - weight[c, at] >= chance[c, i] else at
+            rows += [(name, c, i, float(v)) for name, v in zip(names, np.exp(points[c, at]))]
+    return stats.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["parameter", "chain", "draw", "value"]), "parameter string, chain int, draw int, value double")
+
+
+def sample_bgnbd(inputs: DataFrame, draws: int = 1000, chains: int = 4, seed: int = 1) -> DataFrame:
+    """Posterior draws of r, alpha, a and b, under normal priors of their logarithms."""
+    model = fit_bgnbd(inputs)
+    return _posterior_draws(_sufficient(inputs, ["frequency", "recency", "T"]), _bgnbd_terms, np.log([model.r, model.alpha, model.a, model.b]), ("r", "alpha", "a", "b"), draws, chains, seed)
+
+
+def sample_gamma_gamma(inputs: DataFrame, draws: int = 1000, chains: int = 4, seed: int = 1) -> DataFrame:
+    """Posterior draws of p, q and gamma, under normal priors of their logarithms."""
+    model = fit_gamma_gamma(inputs)
+    return _posterior_draws(_sufficient(inputs.filter("monetary_value > 0"), ["frequency", "monetary_value"]), _gamma_gamma_terms, np.log([model.p, model.q, model.gamma]), ("p", "q", "gamma"), draws, chains, seed)
+
+
 def prob_alive(model: BgNbd) -> Column:
     x, tx, t = F.col("frequency").cast("double"), F.col("recency"), F.col("T")
     odds = F.lit(model.a) / (F.lit(model.b) + x - 1) * F.pow((F.lit(model.alpha) + t) / (F.lit(model.alpha) + tx), F.lit(model.r) + x)

@@ -52,6 +52,23 @@ def ml_bgnbd(spark: SparkSession, d: str) -> DataFrame:
     return inputs.select("customer_id", mo.expected_purchases(model, mo.horizon_days(12))("frequency", "recency", "T").alias("predicted_purchases"), mo.prob_alive(model).alias("prob_alive"))
 
 
+def _diagnosed(draws: DataFrame) -> DataFrame:
+    draws = checkpointed(draws)
+    moments = draws.groupBy("parameter").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return moments.join(mo.mcmc_diagnostics(draws), "parameter")
+
+
+@REG.query()
+def ml_bgnbd_mcmc(spark: SparkSession, d: str) -> DataFrame:
+    """Posterior mean and deviation of each parameter, with the diagnostics of the chains."""
+    return _diagnosed(mo.sample_bgnbd(checkpointed(agg_bgnbd_in(spark, d))))
+
+
+@REG.query()
+def ml_gg_mcmc(spark: SparkSession, d: str) -> DataFrame:
+    return _diagnosed(mo.sample_gamma_gamma(checkpointed(agg_gg_in(spark, d))))
+
+
 @REG.query()
 def ml_gg(spark: SparkSession, d: str) -> DataFrame:
     inputs = checkpointed(agg_gg_in(spark, d))  # read by the fit and the scores

@@ -77,9 +77,15 @@ def breaches(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def alert_changes(breached: DataFrame) -> DataFrame:
-    """Rows at which a rule's state turns: triggered or resolved, by time."""
-    before = F.coalesce(F.lag("breached").over(Window.partitionBy("rule").orderBy("ts")), F.lit(False))
-    return breached.withColumn("before", before).filter("breached <> before").select("rule", "ts", "value", F.when(F.col("breached"), "triggered").otherwise("resolved").alias("state"))
+    """Rows at which a rule's state turns: triggered or resolved, by time. A rule is followed day by day, each day after the last
+    state of the one before, so that no task holds all rows of a rule."""
+    dated = breached.withColumn("__day", F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date")))
+    ends = dated.groupBy("rule", "__day").agg(F.max_by("breached", "ts").alias("__end"))  # a row for each rule and day
+    carried = ends.select("rule", "__day", F.lag("__end").over(Window.partitionBy("rule").orderBy("__day")).alias("__carried"))
+    of_day = Window.partitionBy("rule", "__day").orderBy("ts")
+    first = F.row_number().over(of_day) == 1
+    before = F.coalesce(F.when(first, F.col("__carried")).otherwise(F.lag("breached").over(of_day)), F.lit(False))
+    return dated.join(carried, ["rule", "__day"]).withColumn("before", before).filter("breached <> before").select("rule", "ts", "value", F.when(F.col("breached"), "triggered").otherwise("resolved").alias("state"))
 
 
 def utilisation(cpu: Column, memory: Column, throughput: Column, lag: Column, queue: Column) -> Column:
