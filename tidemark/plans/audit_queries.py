@@ -124,7 +124,18 @@ def agg_mart_summary(spark: SparkSession, d: str) -> DataFrame:
     return ma.mart_summary(o, ma.aggregate_periods(o))
 
 
-@REG.query()
+def _json_sql(kind: str, columns: dict[str, str], source: str) -> str:
+    """A row of JSON for each row: texts and times in quotes, numbers as they are, nulls left out."""
+    iso = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
+    cells = ", ".join(f"'\"{c}\":' || " + (f"to_json({c})::VARCHAR" if t == "text" else f"'\"' || {iso.format(c)} || '\"'" if t == "time" else f"{c}::VARCHAR") for c, t in columns.items())
+    return f"SELECT {kind} AS kind, '{{' || concat_ws(',', {cells}) || '}}' AS json FROM {source}"
+
+
+_ORDER_CELLS = {"order_id": "text", "customer_id": "text", "order_ts": "time", "first_item_ts": "time", "last_item_ts": "time", "total_spend": "", "total_margin": "", "total_quantity": "", "distinct_products": ""}
+_PERIOD_CELLS = {"customer_id": "text", "period_start": "time", "period_end": "time", "total_orders": "", "total_spend": "", "total_margin": "", "total_quantity": "", "last_transaction_ts": "time"}
+
+
+@REG.query(f"WITH {ORDERS}, {_periods('pm', 'month')}, {_periods('pq', 'quarter')}, {_periods('py', 'year')}, p AS (SELECT * FROM pm UNION ALL SELECT * FROM pq UNION ALL SELECT * FROM py) {_json_sql(chr(39) + 'orders' + chr(39), _ORDER_CELLS, 'orders_')} UNION ALL {_json_sql(chr(39) + 'periods_' + chr(39) + ' || granularity', _PERIOD_CELLS, 'p')}")
 def snk_mart_json(spark: SparkSession, d: str) -> DataFrame:
     o = orders(spark, d)
     return ma.mart_json(o, ma.aggregate_periods(o, ma.GRANULARITIES))

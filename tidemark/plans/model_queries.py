@@ -13,7 +13,7 @@ from tidemark.operators import lenses as le
 from tidemark.operators import models as mo
 from tidemark.plans import audit_queries as au
 from tidemark.registry import Registry
-from tidemark.session import checkpointed, scratch, table
+from tidemark.session import checkpointed, scratch, stored, table
 from tidemark.sources import files
 from tidemark.sources import synthetic as sy
 from tidemark.streaming import events as ev
@@ -290,9 +290,16 @@ def chart_retention(spark: SparkSession, d: str) -> DataFrame:
     return la.chart_retention(au.agg_lens3(spark, d))
 
 
-@REG.query(f"WITH {au.PERIODS}, {au.COHORTS}, {au._decomp(au._LEFT)} SELECT cohort_id, {', '.join(f'max(pct_active) FILTER (WHERE period_number = {k}) AS {chr(34)}{k}{chr(34)}' for k in range(6))} FROM l4 GROUP BY 1")
+@REG.query(f"WITH {au.PERIODS}, {au.COHORTS}, {au._decomp(au._LEFT)} SELECT cohort_id, map_from_entries(list((period_number, pct_active) ORDER BY period_number))::VARCHAR AS cells FROM l4 GROUP BY 1")
 def chart_heatmap(spark: SparkSession, d: str) -> DataFrame:
-    return la.chart_heatmap(au.agg_decomp(spark, d), list(range(6)))
+    """All periods of each cohort; the cells as text, for a table's columns would follow the data."""
+    rows = stored(au.agg_decomp(spark, d).select("cohort_id", "period_number", "pct_active"))
+    periods = [r[0] for r in rows.select("period_number").distinct().orderBy("period_number").limit(10_001).collect()]  # a period each, not a customer
+    if len(periods) > 10_000:
+        raise ValueError("more than 10,000 periods don't make a chart")
+    wide = la.chart_heatmap(rows, periods)
+    cell = [F.when(F.col(f"`{p}`").isNotNull(), F.concat(F.lit(f"{p}="), F.col(f"`{p}`").cast("string"))) for p in periods]
+    return wide.select("cohort_id", F.concat(F.lit("{"), F.concat_ws(", ", *cell), F.lit("}")).alias("cells"))
 
 
 def _lens4(spark: SparkSession, d: str) -> DataFrame:
