@@ -324,7 +324,7 @@ _TWO_GROUPS = """g AS (SELECT event_type, count(value) AS n, avg(value) AS m, va
 s AS (SELECT a.n AS na, b.n AS nb, a.m AS ma, b.m AS mb, a.v AS va, b.v AS vb, b.m - a.m AS diff, a.v / a.n + b.v / b.n AS e2, ((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) AS pooled FROM g a, g b WHERE a.event_type = 'view' AND b.event_type = 'click')"""
 #: Fixed value: the normal quantile of 0.975.
 _Z = "1.959963984540054"
-_T975 = f"({_Z} + (power({_Z}, 3) + {_Z}) / (4 * df) + (5 * power({_Z}, 5) + 16 * power({_Z}, 3) + 3 * {_Z}) / (96 * df * df))"
+_T975 = f"({_Z} + (power({_Z}, 3) + {_Z}) / (4 * df) + (5 * power({_Z}, 5) + 16 * power({_Z}, 3) + 3 * {_Z}) / (96 * df * df) + (3 * power({_Z}, 7) + 19 * power({_Z}, 5) + 17 * power({_Z}, 3) - 15 * {_Z}) / (384 * power(df, 3)))"
 
 
 @REG.query(f"""WITH {_TWO_GROUPS}, t AS (SELECT *, diff / sqrt(e2) AS t, e2 * e2 / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1)) AS df, diff / sqrt(pooled) AS d FROM s),
