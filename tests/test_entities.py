@@ -5,7 +5,7 @@ from decimal import Decimal
 
 import pytest
 
-from tidemark.operators.event_features import cumulative_store, current_orders, event_features, feature_table
+from tidemark.operators.event_features import append_orders, cumulative_store, current_orders, event_features, feature_table
 from tidemark.operators.trailing import current_periods, trailing_totals
 
 ORDERS = "order_id string, customer_id string, order_ts timestamp_ntz, total_spend decimal(18,2), event_name string, ingested_at timestamp_ntz"
@@ -93,3 +93,17 @@ def test_trailing_of_huge_amounts_and_ties(spark):
         assert got == want
         means = {(r["customer_id"], r["day"]): r["avg_8d"] for r in trailing_totals(chosen, windows).collect()}
         assert all(means[k] == pytest.approx(float((t[0] / 8).quantize(D("0.0001"), "ROUND_HALF_UP")), rel=1e-12) for k, t in want.items())
+
+
+def test_orders_appended_in_any_order_equal_one_store(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"o{i}", rng.choice(["a", "b", "c", None]), rng.choice([None, *(day(d, h) for d in range(6) for h in (1, 20))]), rng.choice([None, D("1.25"), D("-2.00"), D("7.10")]), rng.choice(["buy", "see", None]), day(9)) for i in range(90)]
+    rng.shuffle(rows)
+    frame = lambda part: spark.createDataFrame(part, ORDERS)
+    store = cumulative_store(frame(rows[:30]))
+    for part in (rows[30:31], rows[31:60], [], rows[60:]):
+        store = append_orders(store, frame(part))
+    key = lambda df: sorted((tuple(r) for r in df.select("entity", "kind", "day", "cum_n", "cum_total", "last_us").collect()), key=str)
+    assert key(store) == key(cumulative_store(frame(rows)))

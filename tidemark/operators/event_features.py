@@ -31,15 +31,38 @@ def cumulative_store(orders: DataFrame, *, entity: str = "customer_id", kind: st
     its own; a null amount counts as an event without amount. Hot entities shrink to one row per type and day
     in the map-side aggregate, before anything is keyed by entity alone.
     """
-    days = (
+    return _cumulated(_daily(orders, entity, kind, ts, amount))
+
+
+def _daily(orders: DataFrame, entity: str, kind: str, ts: str, amount: str) -> DataFrame:
+    return (
         orders.filter(F.col(entity).isNotNull() & F.col(ts).isNotNull())
         .select(F.col(entity).alias("entity"), F.col(kind).alias("kind"), micros(ts).alias("us"), F.col(amount).cast("decimal(18,2)").alias("amount"))
         .groupBy("entity", "kind", F.floor(F.col("us") / F.lit(DAY_US)).alias("day"))
         .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY).alias("total"), F.max("us").alias("last_us"))
-        .repartition("entity")
     )
+
+
+def _cumulated(days: DataFrame) -> DataFrame:
     run = Window.partitionBy("entity", "kind").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return days.select("entity", "kind", "day", F.sum("n").over(run).alias("cum_n"), F.sum("total").over(run).cast(MONEY).alias("cum_total"), "last_us")
+    return days.repartition("entity").select("entity", "kind", "day", F.sum("n").over(run).alias("cum_n"), F.sum("total").over(run).cast(MONEY).alias("cum_total"), "last_us")
+
+
+def append_orders(store: DataFrame, orders: DataFrame, *, entity: str = "customer_id", kind: str = "event_name", ts: str = "order_ts", amount: str = "total_spend") -> DataFrame:
+    """The store with further orders added, whatever their days: as if it had been built from all at once.
+
+    Only pairs of entity and type that have new orders are taken apart into days and summed up again; the rest is passed on.
+    Orders that the store holds already count twice. Rows without entity or time are left out.
+    """
+    fresh = _daily(orders, entity, kind, ts, amount)
+    key = F.struct("entity", "kind")  # a null type equals itself
+    touched = fresh.select(key.alias("key")).distinct()
+    keyed = store.withColumn("key", key)
+    old = Window.partitionBy("entity", "kind").orderBy("day")
+    less = lambda c: F.col(c) - F.coalesce(F.lag(c).over(old), F.lit(0))
+    days = keyed.join(touched, "key", "left_semi").select("entity", "kind", "day", less("cum_n").alias("n"), less("cum_total").cast(MONEY).alias("total"), "last_us")
+    both = days.union(fresh).groupBy("entity", "kind", "day").agg(F.sum("n").alias("n"), F.sum("total").cast(MONEY).alias("total"), F.max("last_us").alias("last_us"))
+    return keyed.join(touched, "key", "left_anti").drop("key").unionByName(_cumulated(both))
 
 
 def event_features(store: DataFrame, as_of: dt.date, windows: tuple[int, ...] = (7, 30, 90)) -> DataFrame:

@@ -76,21 +76,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_ONCE: dict[tuple, DataFrame] = {}
+_ONCE: dict[tuple, tuple[str, DataFrame]] = {}
 
 
 def stored_once(spark: SparkSession, name: str, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A table derived from the files at ``path``, written by the first that asks for it and read by all others.
 
-    It is made anew when the path's files have changed, by name, length or time.
+    It is made anew when the path's files have changed, by name, length or time, or when the table is gone.
     """
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    system = lambda p: at(p).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = system(path).listStatus(at(path))
     state = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
     key = (spark.sparkContext.applicationId, name, path, state)
-    if key not in _ONCE:
-        _ONCE[key] = stored(make())
-    return _ONCE[key]
+    if key not in _ONCE or not system(_ONCE[key][0]).exists(at(_ONCE[key][0])):
+        df = stored(make())
+        _ONCE[key] = (_STORED[-1][1], df)
+    return _ONCE[key][1]
 
 
 def drop_stored() -> None:
