@@ -216,10 +216,8 @@ def encode(documents: DataFrame, *, path: str = DEFAULT_PATH, doc_id: str = "doc
     docs = kept.join(hot, "near", "left").withColumn("block", F.pmod(F.xxhash64("near", salt), F.lit(blocks)).cast("int"))
     each = F.explode(F.array_distinct(F.coalesce("words", F.split("marked", MARK)))).alias("word")
     seen = stored(docs.select("block", each).filter("word != ''").distinct())
-    # a given number of parts, which no adaptive plan draws together: words are few bytes and much work; each part reads the
-    # literal maps anew, so they aren't more than that
-    distinct = seen.select("word").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lexicon = stored(distinct.select("word", fold_merges(F.col("word"), Vocabulary(path)).alias("ids")))
+    # the adaptive plan parts the distinct words by their bytes: each part has to read the literal maps anew
+    lexicon = stored(seen.select("word").distinct().select("word", fold_merges(F.col("word"), Vocabulary(path)).alias("ids")))
     null = F.lit(None)
     known = seen.join(lexicon, "word").select("block", F.lit(0).alias("kind"), null.cast("bigint").alias("doc_id"), "word", "ids", null.cast("string").alias("marked"), null.cast("array<string>").alias("words"))
     every = known.union(docs.select("block", F.lit(1).alias("kind"), "doc_id", null.cast("string").alias("word"), null.cast("array<int>").alias("ids"), "marked", "words"))
